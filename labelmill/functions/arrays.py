@@ -24,6 +24,12 @@ def string_array(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def sql_strings(values: Iterable[str]) -> str:
+    """``string_array`` as SQL text, for expressions that are clearer in SQL."""
+    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return f"cast(array({quoted}) as array<string>)"
+
+
 def term_counts(tokens: Column) -> Column:
     """array<string> -> array<struct<term,cnt>> sorted by term, as run lengths of the sorted array.
 

@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.functions.arrays import let, string_array
+from labelmill.functions.arrays import sql_strings
+from labelmill.session import values
 
 # The metrics that are summarised across slices.
 SUMMARY_METRICS = (
@@ -23,51 +24,36 @@ SUMMARY_METRICS = (
 )
 METRICS = (*SUMMARY_METRICS, "sample_count")
 
-_SUMS = ("n", "exact", "hit", "sp", "sr", "sf", "tp", "fp", "fn")
-
-
-def ratio(num: Column, den: Column) -> Column:
-    """num / den as double, 0 where den is 0."""
-    return F.when(den == 0, F.lit(0.0)).otherwise(num.cast("double") / den)
-
-
-def _records(y_true: Column, y_pred: Column, classes: Column) -> Column:
-    """array<struct<label, n, exact, hit, sp, sr, sf, tp, fp, fn>> of one row; label null = the row itself."""
-    empty = F.array().cast("array<string>")
-
-    def record(label: Column, **values: Column) -> Column:
-        fields = [F.coalesce(values.get(k, F.lit(0)).cast("double"), F.lit(0.0)).alias(k) for k in _SUMS]
-        return F.struct(label.cast("string").alias("label"), *fields)
-
-    def build(r: Column) -> Column:
-        t, p, tb, pb = r["t"], r["p"], r["tb"], r["pb"]
-        both = F.size(F.array_intersect(tb, pb))
-        row = record(
-            F.lit(None),
-            n=F.lit(1),
-            exact=((F.size(F.array_except(t, p)) == 0) & (F.size(F.array_except(p, t)) == 0)).cast("int"),
-            hit=(F.size(F.array_intersect(t, p)) > 0).cast("int"),
-            sp=ratio(both, F.size(pb)),
-            sr=ratio(both, F.size(tb)),
-            sf=ratio(2 * both, F.size(tb) + F.size(pb)),
-        )
-        per_label = F.transform(
-            F.array_union(tb, pb),
-            lambda c: record(
-                c,
-                tp=(F.array_contains(tb, c) & F.array_contains(pb, c)).cast("int"),
-                fp=(~F.array_contains(tb, c)).cast("int"),
-                fn=(~F.array_contains(pb, c)).cast("int"),
-            ),
-        )
-        return F.concat(F.array(row), per_label)
-
-    t, p = F.array_distinct(F.coalesce(y_true, empty)), F.array_distinct(F.coalesce(y_pred, empty))
-    sets = F.struct(
-        t.alias("t"), p.alias("p"),
-        F.array_intersect(t, classes).alias("tb"), F.array_intersect(p, classes).alias("pb"),
-    )
-    return let(sets, build)
+_ROW_SUMS = ("n", "exact", "hit", "sp", "sr", "sf")
+_LABEL_SUMS = ("tp", "fp", "fn")
+_SUMS = (*_ROW_SUMS, *_LABEL_SUMS)
+
+
+def _ratio(num: str, den: str) -> str:
+    """SQL: num / den as double, 0 where den is 0."""
+    return f"if({den} = 0, 0D, cast({num} as double) / {den})"
+
+
+def _record(label: str, **counted: str) -> str:
+    """SQL struct of one record; sums that are not named are 0."""
+    fields = "".join(f", '{k}', cast({counted.get(k, '0')} as double)" for k in _SUMS)
+    return f"named_struct('label', cast({label} as string){fields})"
+
+
+# One record for the row itself (label null) and one per label that is true or predicted.
+# t and p are the true and predicted label sets, tb and pb their parts inside the evaluated classes.
+_RECORDS = f"""explode(concat(
+    array({_record(
+        'null', n='1',
+        exact='int(size(array_except(t, p)) = 0 and size(array_except(p, t)) = 0)',
+        hit='int(size(array_intersect(t, p)) > 0)',
+        sp=_ratio('shared', 'size(pb)'), sr=_ratio('shared', 'size(tb)'),
+        sf=_ratio('2 * shared', '(size(tb) + size(pb))'),
+    )}),
+    transform(array_union(tb, pb), c -> {_record(
+        'c', tp='int(array_contains(tb, c) and array_contains(pb, c))',
+        fp='int(not array_contains(tb, c))', fn='int(not array_contains(pb, c))',
+    )})))"""
 
 
 def evaluation_summary(df: DataFrame, classes: Sequence[str], y_true: str = "y_true", y_pred: str = "y_pred",
@@ -77,82 +63,67 @@ def evaluation_summary(df: DataFrame, classes: Sequence[str], y_true: str = "y_t
 
     Labels outside ``classes`` count for exact match and one-correct only.
     """
-    wanted = string_array(classes)
-    key = F.col(slice_col) if slice_col else F.lit(None).cast("string")
-    records = df.select(
-        key.cast("string").alias("slice"), F.explode(_records(F.col(y_true), F.col(y_pred), wanted)).alias("r")
-    ).select("slice", "r.*")
+    wanted = sql_strings(classes)
+    key = f"cast(`{slice_col}` as string)" if slice_col else "cast(null as string)"
+    sets = df.selectExpr(
+        f"{key} as slice", f"array_distinct(coalesce(`{y_true}`, array())) as t",
+        f"array_distinct(coalesce(`{y_pred}`, array())) as p",
+    )
+    inside = sets.selectExpr("*", f"array_intersect(t, {wanted}) as tb", f"array_intersect(p, {wanted}) as pb")
+    shared = inside.selectExpr("*", "size(array_intersect(tb, pb)) as shared")
+    records = shared.selectExpr("slice", f"{_RECORDS} as r").selectExpr("slice", "r.*")
     sums = [F.sum(c).alias(c) for c in _SUMS]
     per_slice = records.groupBy("slice", "label").agg(*sums)
     # From here on there are at most slices x (labels + 1) rows.
     sets = [["label"]] + ([["slice", "label"]] if slice_col else [])
     both = per_slice.groupingSets(sets, "slice", "label").agg(F.grouping("slice").alias("all"), *sums)
-    stats = F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "tp", "fp", "fn")))
-    folded = both.groupBy("all", "slice").agg(*[F.sum(c).alias(c) for c in _SUMS[:6]], stats.alias("_stats"))
-    zero = F.lit(0.0)
-    in_order = F.transform(
-        wanted,
-        lambda c: F.coalesce(
-            F.get(F.filter(F.col("_stats"), lambda s: s["label"] == c), F.lit(0)),
-            F.struct(c.alias("label"), zero.alias("tp"), zero.alias("fp"), zero.alias("fn")),
-        ),
+    stats = F.expr("collect_list(case when label is not null then struct(label, tp, fp, fn) end)")
+    folded = both.groupBy("all", "slice").agg(*sums[: len(_ROW_SUMS)], stats.alias("_stats"))
+    in_order = f"""transform({wanted}, c -> coalesce(
+        get(filter(_stats, s -> s.label = c), 0),
+        named_struct('label', c, 'tp', 0D, 'fp', 0D, 'fn', 0D)))"""
+    return folded.selectExpr(
+        f"if(all = 1, 'overall', '{slice_type}') as slice_type", "if(all = 1, 'all', slice) as slice", *_ROW_SUMS,
+        f"{in_order} as stats",
     )
-    return folded.select(
-        F.when(F.col("all") == 1, "overall").otherwise(slice_type).alias("slice_type"),
-        F.when(F.col("all") == 1, "all").otherwise(F.col("slice")).alias("slice"),
-        *_SUMS[:6], in_order.alias("stats"),
-    )
-
 
-def _precision(s: Column) -> Column:
-    return ratio(s["tp"], s["tp"] + s["fp"])
 
+# SQL scores of one label's counts s.
+_SCORES = {
+    "precision": _ratio("s.tp", "(s.tp + s.fp)"),
+    "recall": _ratio("s.tp", "(s.tp + s.fn)"),
+    "f1": _ratio("2 * s.tp", "(2 * s.tp + s.fp + s.fn)"),
+}
 
-def _recall(s: Column) -> Column:
-    return ratio(s["tp"], s["tp"] + s["fn"])
 
+def _totals(summary: DataFrame) -> DataFrame:
+    """Add struct ``s``: sums over the labels of tp, fp, fn and of each score, plain and weighted by support."""
+    terms = {k: f"s.{k}" for k in _LABEL_SUMS}
+    terms |= _SCORES
+    terms |= {f"{k}_w": f"({v}) * (s.tp + s.fn)" for k, v in _SCORES.items()}
+    start = ", ".join(f"'{k}', 0D" for k in terms)
+    step = ", ".join(f"'{k}', acc.{k} + {v}" for k, v in terms.items())
+    total = f"aggregate(stats, named_struct({start}), (acc, s) -> named_struct({step}))"
+    return summary.selectExpr("*", f"{total} as s")
 
-def _f1(s: Column) -> Column:
-    return ratio(2 * s["tp"], 2 * s["tp"] + s["fp"] + s["fn"])
 
-
-def _total(value) -> Column:
-    return F.aggregate(F.col("stats"), F.lit(0.0), lambda acc, s: acc + value(s))
-
-
-def _support(s: Column) -> Column:
-    return s["tp"] + s["fn"]
-
-
-def _averages(kind: str) -> dict[str, Column]:
-    """micro, macro and weighted averages of precision, recall or f1."""
-    tp, fp, fn = (_total(lambda s, k=k: s[k]) for k in ("tp", "fp", "fn"))
-    one = {"precision": _precision, "recall": _recall, "f1": _f1}[kind]
-    micro = {"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)}
+def _average(kind: str, how: str) -> str:
+    """SQL: micro, macro or weighted average of a score from the totals s."""
     return {
-        "micro": micro[kind],
-        "macro": ratio(_total(one), F.size("stats")),
-        "weighted": ratio(_total(lambda s: one(s) * _support(s)), _total(_support)),
-    }
-
-
-def hamming_loss() -> Column:
-    return ratio(_total(lambda s: s["fp"] + s["fn"]), F.col("n") * F.size("stats"))
+        "micro": _SCORES[kind],
+        "macro": _ratio(f"s.{kind}", "size(stats)"),
+        "weighted": _ratio(f"s.{kind}_w", "(s.tp + s.fn)"),
+    }[how]
 
 
 def metrics_wide(summary: DataFrame) -> DataFrame:
     """One column per metric."""
-    f1, precision, recall = _averages("f1"), _averages("precision"), _averages("recall")
-    values = {
-        "f1_micro": f1["micro"], "f1_macro": f1["macro"], "f1_weighted": f1["weighted"],
-        "precision_micro": precision["micro"], "precision_macro": precision["macro"],
-        "recall_micro": recall["micro"], "recall_macro": recall["macro"],
-        "hamming_loss": hamming_loss(),
-        "exact_match_ratio": ratio(F.col("exact"), F.col("n")),
-        "one_correct_accuracy": ratio(F.col("hit"), F.col("n")),
-        "sample_count": F.col("n"),
-    }
-    return summary.select("slice_type", "slice", *[v.alias(k) for k, v in values.items()])
+    metrics = {f"{kind}_{how}": _average(kind, how) for kind in _SCORES for how in ("micro", "macro", "weighted")}
+    metrics["hamming_loss"] = _ratio("(s.fp + s.fn)", "(n * size(stats))")
+    metrics["exact_match_ratio"] = _ratio("exact", "n")
+    metrics["one_correct_accuracy"] = _ratio("hit", "n")
+    metrics["sample_count"] = "n"
+    return _totals(summary).selectExpr("slice_type", "slice", *[f"{metrics[k]} as {k}" for k in METRICS])
 
 
 def metrics_long(summary: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -162,32 +133,27 @@ def metrics_long(summary: DataFrame, metrics: Sequence[str] = METRICS) -> DataFr
 
 def per_label(summary: DataFrame) -> DataFrame:
     """(slice_type, slice, label, precision, recall, f1, true_count, pred_count)."""
-    rows = summary.select("slice_type", "slice", F.explode("stats").alias("s"))
-    s = F.col("s")
-    return rows.select(
-        "slice_type", "slice", "s.label", _precision(s).alias("precision"), _recall(s).alias("recall"),
-        _f1(s).alias("f1"), _support(s).cast("bigint").alias("true_count"),
-        (s["tp"] + s["fp"]).cast("bigint").alias("pred_count"),
+    rows = summary.selectExpr("slice_type", "slice", "explode(stats) as s")
+    return rows.selectExpr(
+        "slice_type", "slice", "s.label", *[f"{v} as {k}" for k, v in _SCORES.items()],
+        "bigint(s.tp + s.fn) as true_count", "bigint(s.tp + s.fp) as pred_count",
     )
 
 
 def classification_report(summary: DataFrame) -> DataFrame:
     """(slice_type, slice, row, precision, recall, f1, support): one row per label and the micro,
     macro, weighted and samples averages."""
-    labels = per_label(summary).select(
-        "slice_type", "slice", F.col("label").alias("row"), "precision", "recall", "f1",
-        F.col("true_count").alias("support"),
+    labels = per_label(summary).selectExpr(
+        "slice_type", "slice", "label as row", "precision", "recall", "f1", "true_count as support"
     )
-    p, r, f = _averages("precision"), _averages("recall"), _averages("f1")
-    rows = [(f"{k} avg", p[k], r[k], f[k]) for k in ("micro", "macro", "weighted")]
-    rows.append(("samples avg", *[ratio(F.col(c), F.col("n")) for c in ("sp", "sr", "sf")]))
-    entries = F.array(*[
-        F.struct(F.lit(name).alias("row"), a.alias("precision"), b.alias("recall"), c.alias("f1"))
-        for name, a, b, c in rows
-    ])
-    averages = summary.select(
-        "slice_type", "slice", F.explode(entries).alias("e"), _total(_support).cast("bigint").alias("support")
-    ).select("slice_type", "slice", "e.*", "support")
+    rows = {f"{how} avg": [_average(kind, how) for kind in _SCORES] for how in ("micro", "macro", "weighted")}
+    rows["samples avg"] = [_ratio(c, "n") for c in ("sp", "sr", "sf")]
+    entries = ", ".join(
+        f"named_struct('row', '{row}', 'precision', {p}, 'recall', {r}, 'f1', {f})" for row, (p, r, f) in rows.items()
+    )
+    averages = _totals(summary).selectExpr(
+        "slice_type", "slice", f"explode(array({entries})) as e", "bigint(s.tp + s.fn) as support"
+    ).selectExpr("slice_type", "slice", "e.*", "support")
     return labels.unionByName(averages)
 
 
@@ -211,11 +177,13 @@ def rank_slices(summary: DataFrame, metric: str = "f1_micro") -> DataFrame:
 
 def best_and_worst(summary: DataFrame, metric: str = "f1_micro") -> DataFrame:
     """('best', slice, value) and ('worst', slice, value); ties go to the first slice name."""
-    ranked = rank_slices(summary, metric)
-    one = lambda name, sign: ranked.agg(
-        F.min_by(F.struct("slice", F.col(metric).alias("value")), F.struct(sign * F.col(metric), "slice")).alias("s")
-    ).select(F.lit(name).alias("rank"), "s.slice", "s.value").where(F.col("slice").isNotNull())
-    return one("best", -1).unionByName(one("worst", 1))
+    slices = metrics_wide(summary).where(F.col("slice_type") != "overall")
+    pick = lambda sign: F.min_by(
+        F.struct("slice", F.col(metric).alias("value")), F.struct(sign * F.col(metric), "slice"))
+    ends = slices.agg(pick(-1).alias("best"), pick(1).alias("worst")).where(F.col("best").isNotNull())
+    named = F.array(*[F.struct(F.lit(k).alias("rank"), F.col(k)["slice"].alias("slice"), F.col(k)["value"].alias("value"))
+                      for k in ("best", "worst")])
+    return ends.select(F.explode(named).alias("e")).select("e.*")
 
 
 def rank_labels(summary: DataFrame) -> DataFrame:
@@ -240,12 +208,15 @@ def label_universe(df: DataFrame, y_true: str, y_pred: str, explicit: Sequence[s
         F.max("t").alias("in_true"), F.max("p").alias("in_pred")
     )
     if explicit is not None:
-        listed = spark.createDataFrame([(x, 1) for x in explicit], "label string, listed int")
+        listed = values(spark, explicit, "label").withColumn("listed", F.lit(1))
         found = listed.join(found, "label", "full_outer").where(
             (F.col("listed") == 1) | (F.col("in_pred") == 1)
         ).select("label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("in_true", "in_pred")])
+    named = found.withColumn("error", F.lit(None).cast("string"))
+    if explicit:
+        return named
     none = found.agg(F.count("*").alias("n")).where(F.col("n") == 0).select(
         F.lit(None).cast("string").alias("label"), F.lit(0).alias("in_true"), F.lit(0).alias("in_pred"),
         F.lit("No labels to evaluate.").alias("error"),
     )
-    return found.withColumn("error", F.lit(None).cast("string")).unionByName(none)
+    return named.unionByName(none)

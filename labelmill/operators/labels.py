@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from labelmill.functions.arrays import let, string_array
 from labelmill.functions.text import strip_space
+from labelmill.session import values
 from labelmill.vocab import LABEL_NAMES
 
 
@@ -87,7 +88,7 @@ def normalise_labels(labels: Column, names: dict[str, str] = LABEL_NAMES) -> Col
 def label_vocabulary(df: DataFrame, labels: str, known: Iterable[str] = ()) -> DataFrame:
     """Distinct union of the known labels and those found, one sorted column ``label``."""
     found = df.select(F.explode(labels).alias("label"))
-    extra = df.sparkSession.createDataFrame([(k,) for k in known], "label string")
+    extra = values(df.sparkSession, known, "label")
     return found.union(extra).where(F.col("label").isNotNull()).distinct().orderBy("label")
 
 

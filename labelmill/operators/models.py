@@ -25,7 +25,7 @@ from labelmill.functions.arrays import let, string_array
 from labelmill.functions.hashing import hash_bucket
 from labelmill.operators import evaluate as ev
 from labelmill.operators import vectors as vec
-from labelmill.session import ensure_checkpoint_dir
+from labelmill.session import ensure_checkpoint_dir, values
 
 MAX_BAG_TERMS = 1 << 18
 
@@ -89,7 +89,7 @@ def trainable_labels(df: DataFrame, labels: str, classes: Sequence[str], min_pos
     """(label, positives, trainable): a label with fewer than ``min_positives`` rows is skipped."""
     found = df.select(F.explode(F.array_distinct(F.array_intersect(labels, string_array(classes)))).alias("label"))
     counts = found.groupBy("label").agg(F.count("*").alias("n"))
-    listed = df.sparkSession.createDataFrame([(c,) for c in classes], "label string")
+    listed = values(df.sparkSession, classes, "label")
     n = F.coalesce("n", F.lit(0))
     return listed.join(counts, "label", "left").select(
         "label", n.alias("positives"), (n >= min_positives).alias("trainable")

@@ -149,7 +149,11 @@ def match_day_file(files: DataFrame, repo: str = "repo", path: str = "path", pos
         deepest = F.least(F.size(parts) - 1, F.lit(2))
         names = F.transform(F.array(F.lit(1), F.lit(2)), lambda n: F.when(
             n <= deepest, F.array_join(F.slice(parts, F.lit(1), n), "/")))
-        return F.filter(names, lambda f: _search_place(f).isNotNull())
+        return F.filter(names, lambda f: let(_search_place(f), lambda s: (
+            s.isNotNull()
+            & F.coalesce(s["year"].between(FIRST_YEAR, LAST_YEAR), F.lit(True))
+            & F.coalesce(s["day"].between(FIRST_DAY, LAST_DAY), F.lit(True))
+        )))
 
     folders = base.select("repo", F.explode(let(F.split("path", "/"), named)).alias("folder"))
     exists = folders.groupBy("repo").agg(F.collect_set("folder").alias("folders"))

@@ -7,14 +7,23 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelmill.session import values
+
 
 def dataset_totals(df: DataFrame, labels: str) -> DataFrame:
-    """Rows, label occurrences, distinct labels.  Labels are counted per label first, so the
-    distinct count never gathers the occurrences."""
-    rows = df.agg(F.count("*"))
-    per_label = label_distribution(df, labels)
-    return per_label.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_labels"), F.count("*").alias("n_distinct")).select(
-        rows.scalar().alias("n_rows"), "n_labels", "n_distinct"
+    """Rows, label occurrences, distinct labels in one pass: each row yields itself and its labels,
+    which are counted per label first, so the distinct count never gathers the occurrences."""
+    itself = F.array(F.struct(F.lit(True).alias("row"), F.lit(None).cast("string").alias("label")))
+    tagged = F.transform(
+        F.coalesce(F.col(labels), F.array().cast("array<string>")),
+        lambda x: F.struct(F.lit(False).alias("row"), x.alias("label")),
+    )
+    counts = df.select(F.explode(F.concat(itself, tagged)).alias("e")).select("e.*").groupBy("row", "label").agg(
+        F.count("*").alias("n")
+    )
+    total = lambda rows: F.coalesce(F.sum(F.when(F.col("row") == rows, F.col("n"))), F.lit(0))
+    return counts.agg(
+        total(True).alias("n_rows"), total(False).alias("n_labels"), F.count_if(~F.col("row")).alias("n_distinct")
     )
 
 
@@ -50,5 +59,5 @@ def labels_per_row(df: DataFrame, labels: str) -> DataFrame:
 
 def unknown_labels(df: DataFrame, labels: str, expected: Iterable[str]) -> DataFrame:
     """Labels found but not expected, sorted."""
-    known = df.sparkSession.createDataFrame([(e,) for e in expected], "label string")
+    known = values(df.sparkSession, expected, "label")
     return label_distribution(df, labels).select("label").join(known, "label", "left_anti").orderBy("label")

@@ -20,14 +20,15 @@ def nested_json_explode(spark, sf):
         F.lit(', "'), (F.dayofmonth("ts") % 25 + 1).cast("string"), F.lit('": 5, "'), F.col("event_type"),
         F.lit('": {"a": "b"}}'),
     )
-    docs = table(spark, sf, "events").select("event_id", doc.alias("json"))
+    docs = spread(table(spark, sf, "events").select("event_id", "ts", "event_type", "props")).select(
+        "event_id", doc.alias("json"))
     return nj.explode_solutions(docs, "json", "event_id")
 
 
 def conversation_rows(spark, sf):
     """Each turn as one 'year -> day -> thread' document with a single comment; system turns have no
     author, first turns no code."""
-    turns = table(spark, sf, "conversations")
+    turns = spread(table(spark, sf, "conversations"))
     comment = F.struct(
         F.when(F.col("role") != "system", F.col("role")).alias("author"),
         F.when(F.col("turn") > 0, F.col("text")).alias("code"),

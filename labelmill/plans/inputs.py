@@ -74,21 +74,20 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, source, y_true, y_pred): labels table against simple text rules.  'other' is only
     ever predicted and lies outside the evaluated classes; 'unused' never occurs."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text", "n_chars")
-    labels = table(spark, sf, "labels")
-    hot = docs.join(labels, "doc_id").select(
-        "doc_id", "source",
-        F.struct((F.col("lang") == "en").cast("int").alias("english"), "quality", "toxic").alias("t"),
-        F.struct(
-            F.contains("text", F.lit(" the ")).cast("int").alias("english"),
-            (F.col("n_chars") > 2000).cast("int").alias("quality"),
-            F.contains("text", F.lit("###")).cast("int").alias("toxic"),
-            (F.col("n_chars") < 300).cast("int").alias("other"),
-        ).alias("p"),
+    flags = docs.select(
+        "doc_id", "source", "lang",
+        F.contains("text", F.lit(" the ")).cast("int").alias("english"),
+        (F.col("n_chars") > 2000).cast("int").alias("quality"),
+        F.contains("text", F.lit("###")).cast("int").alias("toxic"),
+        (F.col("n_chars") < 300).cast("int").alias("other"),
+    )
+    # The rules run before the join, so no text is shuffled.
+    scored = flags.select("doc_id", "source", "lang", marked_columns(PREDICTED, 1).alias("y_pred"))
+    joined = scored.join(table(spark, sf, "labels"), "doc_id")
+    truth = joined.withColumn("english", (F.col("lang") == "en").cast("int"))
+    return truth.select(
+        "doc_id", "source", marked_columns(["english", "quality", "toxic"], 1).alias("y_true"), "y_pred"
     )
-    names = ["english", "quality", "toxic"]
-    true = hot.select("doc_id", "source", "t.*", "p").withColumn("y_true", marked_columns(names, 1))
-    pred = true.select("doc_id", "source", "y_true", "p.*").withColumn("y_pred", marked_columns(PREDICTED, 1))
-    return pred.select("doc_id", "source", "y_true", "y_pred")
 
 
 EVAL_CTE = """

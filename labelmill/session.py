@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "labelmill", master: str | None = None, shuffle_partitions: int | None = None,
@@ -19,6 +21,7 @@ def build_session(app: str = "labelmill", master: str | None = None, shuffle_par
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     }
@@ -53,6 +56,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def spread(df: DataFrame) -> DataFrame:
     """Give a CPU-heavy stage enough tasks when its scan yields fewer than the session has cores.
+    For scans with projections and filters only: asking for the number of tasks must not run a shuffle.
 
     A table of many files already has far more scan tasks than cores and is left as it is,
     so nothing is shuffled at scale; a single small file would otherwise be one task.
@@ -63,5 +67,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted)
 
 
+def values(spark: SparkSession, items: Iterable[str], name: str) -> DataFrame:
+    """A short fixed list as a one-column table whose size Spark knows, so that it may be broadcast."""
+    listed = F.array(*[F.lit(x) for x in items]).cast("array<string>")
+    return spark.range(1).select(F.explode(listed).alias(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
