@@ -57,6 +57,10 @@ def repaired_or_none(code):
     return fixed if compiles(fixed) else None
 
 
+# Literal parts of f-strings, where the tokenizer has them.
+_FSTRING_TEXT = {getattr(tokenize, n) for n in ("FSTRING_MIDDLE", "TSTRING_MIDDLE") if hasattr(tokenize, n)}
+
+
 class _Columns:
     """Rebuilds source text from kept tokens, restoring the gaps between them as blanks."""
 
@@ -87,14 +91,16 @@ def without_comments(code):
         for tok in tokenize.generate_tokens(io.StringIO(code).readline):
             out.gap(tok.start)
             docstring = tok.type == tokenize.STRING and (before in opening or tok.start[1] == 0)
+            end = tok.end
             if tok.type != tokenize.COMMENT and not docstring:
-                # The middle of an f-string carries its braces unescaped; the source has them doubled.
                 text = tok.string
-                if tok.type == getattr(tokenize, "FSTRING_MIDDLE", -1):
-                    text = text.replace("{", "{{").replace("}", "}}")
+                if tok.type in _FSTRING_TEXT:
+                    # Doubled braces of the source arrive as single ones, and the end column is short by them.
+                    end = (end[0], end[1] + len(re.findall(r"[{}]", text.rpartition("\n")[2])))
+                    text = re.sub(r"([{}])", r"\1\1", text)
                 out.parts.append(text)
             before = tok.type
-            out.moved(tok.end)
+            out.moved(end)
     except (tokenize.TokenError, SyntaxError, RecursionError):
         return None
     return "".join(out.parts)
