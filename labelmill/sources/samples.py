@@ -45,23 +45,52 @@ def parse_label_text(text: Column) -> Column:
     return F.coalesce(json_label_list(text), parts, F.array().cast("array<string>"))
 
 
-def read_samples(spark: SparkSession, path: str, style: str = "list") -> DataFrame:
-    """Schema-tolerant sample reader, one JSON record per line or a JSON list per file.
+def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per JSON record as ``r: map<string,variant>``, whatever its keys and types.
 
-    Code is ``Data`` or ``code``; labels are ``Labels`` or ``labels``.  ``style='list'`` takes a
-    label string as one label and marks unlabelled rows 'Unknown'; ``style='text'`` parses a
-    label string (JSON or comma separated) and leaves unlabelled rows with an empty list.
+    ``lines`` reads one record per line and splits large files; otherwise each file holds one list.
     """
-    raw = spark.read.option("multiLine", "true").option("caseSensitive", "true").json(
-        path, schema="Year int, Day int, DataSource string, Data string, code string, Labels string"
+    if lines:
+        return spark.read.text(path).selectExpr("from_json(value, 'map<string,variant>') as r").where("r is not null")
+    return spark.read.text(path, wholetext=True).selectExpr(
+        "explode(from_json(value, 'array<map<string,variant>>')) as r"
     )
-    data = F.coalesce("Data", "code")
+
+
+def _key(*names: str) -> str:
+    """SQL: the value of the first key that the record has."""
+    *others, last = names
+    return "".join(f"if(map_contains_key(r, '{n}'), r['{n}'], " for n in others) + f"r['{last}']" + ")" * len(others)
+
+
+def read_samples(spark: SparkSession, path: str, style: str = "list", lines: bool = False) -> DataFrame:
+    """Schema-tolerant sample reader: (Year, Day, DataSource, code, labels).
+
+    Code is ``Data`` or ``code``; labels are ``Labels`` or ``labels``; records without code are dropped.
+    ``style='list'`` takes a label string as one label, marks rows without usable labels 'Unknown' and
+    drops records without a label key.  ``style='text'`` parses a label string (a JSON list, or comma
+    separated), leaves rows without a label key with an empty list and drops a null in its place.
+    """
+    raw = read_records(spark, path, lines).selectExpr(
+        f"try_variant_get({_key('Year', 'year')}, '$', 'int') as Year",
+        f"try_variant_get({_key('Day', 'day')}, '$', 'int') as Day",
+        f"try_variant_get({_key('DataSource', 'source')}, '$', 'string') as DataSource",
+        f"try_variant_get({_key('Data', 'code')}, '$', 'string') as code",
+        f"{_key('Labels', 'labels')} as _labels",
+    ).where(is_nonblank(F.col("code")))
+    raw = raw.selectExpr(
+        "*", "schema_of_variant(_labels) as _kind", "try_variant_get(_labels, '$', 'string') as _text",
+        "try_variant_get(_labels, '$', 'array<string>') as _list",
+    )
+    kind, text = F.col("_kind"), F.col("_text")
     if style == "text":
-        labels = parse_label_text(F.col("Labels"))
-        out = raw.select("Year", "Day", "DataSource", data.alias("code"), labels.alias("labels"))
-        return out.where(is_nonblank(F.col("code")))
-    labels = F.coalesce(json_label_list(F.col("Labels")), F.when(F.col("Labels").isNotNull(), F.array("Labels")))
-    return normalise_samples(raw, data, labels, "Year", "Day", "DataSource")
+        labels = F.when(kind == "STRING", parse_label_text(text)).otherwise(
+            F.filter(F.coalesce("_list", F.array().cast("array<string>")), is_nonblank))
+        rows = raw.where(kind.isNull() | (kind != "VOID"))
+    else:
+        labels = F.when(kind == "STRING", F.array(text)).otherwise(clean_labels(F.col("_list")))
+        rows = raw.where(kind.isNotNull())
+    return rows.select("Year", "Day", "DataSource", "code", labels.alias("labels"))
 
 
 def load_splits(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
