@@ -30,7 +30,7 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return out.select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
 
 
-def project_records(df: DataFrame) -> DataFrame:
-    """The five record columns of the samples in the configured calendar that have code."""
-    cols = df.select("Year", "Day", "DataSource", "Data", "Labels")
+def project_records(df: DataFrame, *extra: str) -> DataFrame:
+    """The five record columns (and ``extra``) of the samples in the configured calendar that have code."""
+    cols = df.select("Year", "Day", "DataSource", "Data", "Labels", *extra)
     return keep_nonblank(cols.where(in_calendar(F.col("Year"), F.col("Day"))), "Data")

@@ -157,6 +157,27 @@ class LabelModels:
         out = df.withColumn(output, F.array(*columns))
         return out.drop(*[f"_p{i}" for i in range(len(self.classes))])
 
+    def save(self, path: str, spark) -> None:
+        """One folder per model and a small table that says which label each folder answers."""
+        rows = []
+        for i, c in enumerate(self.classes):
+            rows.append((i, c, c in self.models, self.constants.get(c, 0.0)))
+            if c in self.models:
+                PipelineModel([self.models[c]]).write().overwrite().save(f"{path}/label={i}")
+        listed = spark.createDataFrame(rows, "i int, label string, fitted boolean, constant double")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+
+    @classmethod
+    def load(cls, path: str, spark) -> LabelModels:
+        out = cls([])
+        for r in sorted(spark.read.parquet(f"{path}/labels").collect(), key=lambda r: r["i"]):
+            out.classes.append(r["label"])
+            if r["fitted"]:
+                out.models[r["label"]] = PipelineModel.load(f"{path}/label={r['i']}").stages[0]
+            elif r["constant"]:
+                out.constants[r["label"]] = r["constant"]
+        return out
+
     def predict(self, df: DataFrame, threshold: float | None = None, output: str = "y_pred") -> DataFrame:
         """Label list per row; without a threshold a label needs more than one half."""
         scored = self.probabilities(df)

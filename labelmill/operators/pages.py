@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +11,7 @@ from labelmill.functions.pycode import repair_or_drop
 from labelmill.functions.text import RANK_LINE_RE, strip_space
 
 HREF_RE = r'<a href="([^"]*)"'
+PAGES_PER_BATCH = 256
 PUZZLE_RE = r"(\d{4})_day_(\d{1,2})"
 
 
@@ -56,20 +57,26 @@ def extract_blocks(pages: DataFrame, html: str, *keep: str, spec: BlockSpec | No
     reach Python.
     """
     spec = spec or BlockSpec()
-    schema = pages.select(*keep).schema.simpleString()[len("struct<"):-1]
-    ddl = ", ".join(x for x in (schema, "pos: int, author: string, body: string, code: string") if x)
+    ddl = [f"`{f.name}`: {f.dataType.simpleString()}" for f in pages.select(*keep).schema.fields]
     names = [*keep, "pos", "author", "body", "code"]
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.string())
 
     def parse(batches):
-        for pdf in batches:
-            rows = [
-                (*record[:-1], pos, *block)
-                for record in pdf.itertuples(index=False, name=None)
-                for pos, block in enumerate(page_blocks(record[-1], spec))
-            ]
-            yield pd.DataFrame(rows, columns=names)
-
-    return pages.select(*keep, html).mapInPandas(parse, f"struct<{ddl}>")
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAGES_PER_BATCH):
+                part = batch.slice(start, PAGES_PER_BATCH)
+                found = [
+                    (i, pos, *block)
+                    for i, page in enumerate(part.column(part.num_columns - 1).to_pylist())
+                    for pos, block in enumerate(page_blocks(page, spec))
+                ]
+                source, *values = zip(*found) if found else ((),) * 5
+                rows = pa.array(source, pa.int64())
+                kept = [part.column(c).take(rows) for c in range(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, values, kinds)], names=names)
+
+    schema = f"struct<{', '.join([*ddl, 'pos: int, author: string, body: string, code: string'])}>"
+    return pages.select(*keep, html).mapInArrow(parse, schema)
 
 
 def has_rank_line(body: Column) -> Column:

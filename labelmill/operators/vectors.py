@@ -1,7 +1,8 @@
 """Bag-of-words, TF-IDF and feature blocks as long tables (doc, term, value).
 
-The vocabulary is a table.  A capped vocabulary (``max_features``) has a known bound and is
-broadcast; an uncapped one is joined, and Spark decides from its measured size.
+The vocabulary is a table and is joined without a hint.  A capped vocabulary (``max_features``) has
+a row bound that Spark's own size estimate sees, so it is broadcast; an uncapped one is shuffled when
+it is large, and a hot term is then split by the adaptive skew join.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from labelmill.functions.arrays import term_counts
 
-BROADCAST_TERMS = 1_000_000   # a vocabulary proven to have no more terms than this may be broadcast
+TOP_BUCKETS = 64   # first level of the two-level top-k
 
 
 def count_terms(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
@@ -33,12 +34,17 @@ def apply_vocabulary(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def top_terms(counts: DataFrame, max_features: int = 7500, min_df: int = 2) -> DataFrame:
-    """(term, df): terms in at least ``min_df`` documents, then the ``max_features`` most frequent
-    by total count, ties by term.  The limit is a distributed top-k, not a global sort."""
-    return (
-        fit_vocabulary(counts).where(F.col("df") >= min_df)
-        .orderBy(F.desc("total"), F.asc("term")).limit(max_features)
-    )
+    """(term, df, total): terms in at least ``min_df`` documents, then the ``max_features`` most
+    frequent by total count, ties by term.
+
+    A plain limit would send ``max_features`` rows of every partition to one task.  Each of 64 hash
+    buckets keeps its best first, so the last task sees 64 x ``max_features`` rows at most.
+    """
+    order = [F.desc("total"), F.asc("term")]
+    bucket = Window.partitionBy(F.pmod(F.hash("term"), F.lit(TOP_BUCKETS))).orderBy(*order)
+    terms = fit_vocabulary(counts).where(F.col("df") >= min_df)
+    best = terms.withColumn("_r", F.row_number().over(bucket)).where(F.col("_r") <= max_features).drop("_r")
+    return best.orderBy(*order).limit(max_features)
 
 
 def fit_tfidf(counts: DataFrame, n_docs: Column, max_features: int = 7500, min_df: int = 2) -> DataFrame:
@@ -48,14 +54,13 @@ def fit_tfidf(counts: DataFrame, n_docs: Column, max_features: int = 7500, min_d
     return terms.select("term", idf.alias("idf"))
 
 
-def transform_tfidf(counts: DataFrame, idf: DataFrame, doc: str, max_features: int = 7500) -> DataFrame:
+def transform_tfidf(counts: DataFrame, idf: DataFrame, doc: str) -> DataFrame:
     """(doc, term, weight): tf * idf, each document scaled to unit L2 norm.
 
-    A capped vocabulary is broadcast, so only the per-document norm needs the rows of a document
-    together: one shuffle by document, each group at most ``max_features`` rows.
+    Only the per-document norm needs the rows of a document together: one shuffle by document, each
+    group at most as many rows as the vocabulary has terms.
     """
-    side = F.broadcast(idf) if max_features <= BROADCAST_TERMS else idf
-    raw = counts.join(side, "term").select(doc, "term", (F.col("cnt") * F.col("idf")).alias("_w"))
+    raw = counts.join(idf, "term").select(doc, "term", (F.col("cnt") * F.col("idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
     return raw.select(doc, "term", (F.col("_w") / norm).alias("weight"))
 
@@ -64,7 +69,7 @@ def tfidf(docs: DataFrame, doc: str, tokens: Column, max_features: int = 7500, m
     """Fit and transform on the same documents; documents without tokens count in n."""
     counts = count_terms(docs, doc, tokens)
     n_docs = docs.agg(F.count("*")).scalar()
-    return transform_tfidf(counts, fit_tfidf(counts, n_docs, max_features, min_df), doc, max_features)
+    return transform_tfidf(counts, fit_tfidf(counts, n_docs, max_features, min_df), doc)
 
 
 def feature_union(blocks: dict[str, DataFrame], doc: str, value: str = "value") -> DataFrame:
