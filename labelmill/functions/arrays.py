@@ -38,25 +38,22 @@ def term_counts(tokens: Column) -> Column:
     """
 
     def runs(s: Column) -> Column:
-        marked = F.transform(
-            s,
-            lambda x, i: F.struct(
-                x.alias("term"), i.alias("at"), (~x.eqNullSafe(F.get(s, i - 1))).alias("head")
-            ),
+        # Nulls sort first and never differ from what precedes them, so they start no run.
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1))
         )
         return let(
-            F.filter(marked, lambda r: r["head"]),
-            lambda heads: F.transform(
-                heads,
-                lambda h, j: F.struct(
-                    h["term"].alias("term"),
-                    (F.coalesce(F.get(heads, j + 1)["at"], F.size(s)) - h["at"])
-                    .cast("bigint").alias("cnt"),
+            starts,
+            lambda at: F.transform(
+                at,
+                lambda i, j: F.struct(
+                    F.get(s, i).alias("term"),
+                    (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("bigint").alias("cnt"),
                 ),
             ),
         )
 
-    return let(F.sort_array(F.filter(tokens, lambda t: t.isNotNull())), runs)
+    return let(F.sort_array(tokens), runs)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -10,10 +10,12 @@ from labelmill.functions.html import BlockSpec, page_blocks
 from labelmill.functions.pycode import repair_or_drop
 from labelmill.functions.text import RANK_LINE_RE, strip_space
 
+# Patterns of links and of thread names.
 HREF_RE = r'<a href="([^"]*)"'
-PAGES_PER_BATCH = 256
 PUZZLE_RE = r"(\d{4})_day_(\d{1,2})"
 
+PAGES_PER_BATCH = 256
+
 
 def extract_links(pages: DataFrame, html: str, *keep: str) -> DataFrame:
     """Every anchor target in document order as (keep..., day, href).  The position defines the day."""

@@ -66,10 +66,14 @@ def transform_tfidf(counts: DataFrame, idf: DataFrame, doc: str) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, doc: str, tokens: Column, max_features: int = 7500, min_df: int = 2) -> DataFrame:
-    """Fit and transform on the same documents; documents without tokens count in n."""
-    counts = count_terms(docs, doc, tokens)
+    """Fit and transform on the same documents; documents without tokens count in n.
+
+    The transform's documents are placed by their id before they are taken apart, which moves each text
+    once and spares the larger shuffle of its (document, term, weight) rows for the norm.
+    """
     n_docs = docs.agg(F.count("*")).scalar()
-    return transform_tfidf(counts, fit_tfidf(counts, n_docs, max_features, min_df), doc)
+    idf = fit_tfidf(count_terms(docs, doc, tokens), n_docs, max_features, min_df)
+    return transform_tfidf(count_terms(docs.repartition(F.col(doc)), doc, tokens), idf, doc)
 
 
 def feature_union(blocks: dict[str, DataFrame], doc: str, value: str = "value") -> DataFrame:

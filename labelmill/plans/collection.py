@@ -107,10 +107,10 @@ def page_block_filter(spark, sf):
 
 
 def page_text_blocks(spark, sf):
-    """The landed pages themselves: every div is a block."""
-    spec = pg.BlockSpec(block_class="", author_class="", body_class="ad")
+    """The landed pages themselves: each navigation bar is a block, its first link the author."""
+    spec = pg.BlockSpec(block_tag="nav", block_class="", author_class="")
     pages = spread(table(spark, sf, "pages").select("page_id", "html"))
-    return pg.extract_blocks(pages, "html", "page_id", spec=spec).select("page_id", "pos", "author", "body")
+    return pg.extract_blocks(pages, "html", "page_id", spec=spec).select("page_id", "pos", "author", "body", "code")
 
 
 def rank_line_filter(spark, sf):
@@ -257,6 +257,9 @@ SELECT page_id, NULL::VARCHAR AS plain, year || '_' || day AS key FROM p""",
 SELECT conv_id, turn, pos, code FROM b
 WHERE code IS NOT NULL AND NOT (conv_id * 3 BETWEEN 1 AND 100 AND conv_id * 7 <= 9999
   OR conv_id * 7 BETWEEN 1 AND 100 AND conv_id * 3 <= 9999)""",
+    "page_text_blocks": """
+SELECT page_id, 0 AS pos, trim(replace(regexp_extract(html, '(?s)<nav>.*?<a [^>]*>([^<]*)</a>', 1), '&amp;', '&')) AS author,
+  '' AS body, NULL::VARCHAR AS code FROM pages WHERE contains(html, '<nav>')""",
     "rank_line_filter": """
 WITH r AS (SELECT o_orderkey, o_custkey AS a, o_orderkey % 1999 AS b, 'see [' || CASE WHEN o_orderstatus = 'F'
   THEN 'LANGUAGE' ELSE 'lang' END || ': Py 3] ' || o_custkey || CASE WHEN o_orderkey % 2 = 0 THEN '/' ELSE ' / ' END

@@ -59,10 +59,5 @@ def test_projection_has_one_row_per_vector(spark, sf, duck):
     assert all(len(r["snippet"]) == 83 for r in rows)
 
 
-def test_page_text_blocks(spark, sf):
-    rows = QUERIES["page_text_blocks"](spark, sf).collect()
-    assert rows and all(r["author"] is None or r["author"] for r in rows)
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
