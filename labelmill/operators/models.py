@@ -28,6 +28,7 @@ from labelmill.operators import vectors as vec
 from labelmill.session import ensure_checkpoint_dir, values
 
 MAX_BAG_TERMS = 1 << 18
+DEEP_ROWS = 10_000_000
 
 # Model settings.
 BOW_C, BOW_ITERATIONS = 10.0, 200
@@ -115,6 +116,8 @@ def logistic(c: float = BOW_C, max_iter: int = BOW_ITERATIONS) -> Build:
         return LogisticRegression(
             featuresCol="features", labelCol="_y", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0,
             standardization=False, maxIter=max_iter, tol=1e-4,
+            # A gradient is as wide as the vocabulary: with many tasks, sum it in one more level.
+            aggregationDepth=2 if n < DEEP_ROWS else 3,
         )
 
     return build

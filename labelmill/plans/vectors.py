@@ -104,6 +104,27 @@ def embedding_projection(spark, sf):
     return rounded(emb.project_2d(rows, "embedding", F.col("label").cast("string"), text, "vec_id"), "x", "y")
 
 
+VOWELS = "aeio"
+
+
+def _vowel_encoder():
+    """A stand-in encoder: how often each of four letters occurs, read window by window."""
+    import numpy as np
+
+    def encode(texts):
+        windows = [emb.token_windows(t, emb.MAX_TOKENS) for t in texts]
+        return np.array([[sum(w.count(v) for w in ws) for v in VOWELS] for ws in windows], dtype=float)
+
+    return encode
+
+
+def embed_texts(spark, sf):
+    """A user-supplied encoder over whole texts, scaled to unit norm."""
+    docs = documents(spark, sf, "doc_id", "text")
+    vectors = docs.select("doc_id", emb.unit_embedding(F.col("text"), _vowel_encoder).alias("v"))
+    return rounded(vectors.select("doc_id", F.posexplode("v").alias("dim", "value")), "value")
+
+
 def embed_documents(spark, sf):
     """Default encoder fitted on the training documents and applied to all."""
     docs = documents(spark, sf, "doc_id", "text")
@@ -117,7 +138,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         bow_counts, tfidf_topk, tfidf_vocabulary, feature_union, variance_filter, feature_shape, mean_pool,
-        masked_sequence_mean, l2_normalize, supcon_loss, mean_batch_loss, embedding_projection, embed_documents,
+        masked_sequence_mean, l2_normalize, supcon_loss, mean_batch_loss, embedding_projection, embed_texts,
+        embed_documents,
     )
 }
 
@@ -174,6 +196,10 @@ GROUP BY vec_id, k % 4""",
     "l2_normalize": """
 WITH c AS (SELECT vec_id, unnest(range(0, 64))::INT AS dim, unnest(embedding)::DOUBLE * 3 AS x FROM embeddings)
 SELECT vec_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS value FROM c""",
+    "embed_texts": """
+WITH c AS (SELECT doc_id, unnest(range(0, 4))::INT AS dim,
+             length(text) - length(replace(text, unnest(['a', 'e', 'i', 'o']), '')) AS x FROM documents)
+SELECT doc_id, dim, round(coalesce(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 0), 0), 6) AS value FROM c""",
     "supcon_loss": _LOSS + "SELECT batch, n, round(loss, 6) AS loss FROM b",
     "mean_batch_loss": _LOSS + "SELECT round(avg(loss), 6) AS loss, count(*) AS batches FROM b",
 }

@@ -45,8 +45,10 @@ def build_dataset(spark: SparkSession, matrix_csv: str, out: str, leaderboard: s
                   forum: str | None = None, repositories: str | None = None, seed: int = 42) -> DataFrame:
     """Collect, clean, label and split.  Sources that are not given are left out.
 
-    Writes ``out/labelled`` (every label row, also those without samples) and ``out/samples``
-    (non-blank samples partitioned by split and source); returns the samples.
+    Writes ``out/cleaned`` (cleaned code per source), ``out/labelled`` (every label row, also those
+    without samples) and ``out/samples`` (non-blank samples partitioned by split and source); returns
+    the samples.  Each stage reads the table the one before has written: code is parsed once, the label
+    join's key pass reads two columns, and a lost executor repeats one stage at most.
     """
     wide = sm.read_label_matrix(spark, matrix_csv)
     head = [c for c in wide.columns if c not in LABEL_CODES]
@@ -55,12 +57,14 @@ def build_dataset(spark: SparkSession, matrix_csv: str, out: str, leaderboard: s
         ("leaderboard", leaderboard, _repository_samples), ("reddit", forum, _forum_samples),
         ("github", repositories, _repository_samples),
     ]
+    given = [source for source, path, _ in readers if path]
+    cleaned = lb.union_sources([(source, read(spark, path)) for source, path, read in readers if path])
+    cleaned.write.mode("overwrite").partitionBy("DataSource").parquet(f"{out}/cleaned")
+    cleaned = spark.read.parquet(f"{out}/cleaned")
     parts = [
-        lb.label_join(labels, read(spark, path).withColumn("DataSource", F.lit(source)), ["Year", "Day"])
-        for source, path, read in readers if path
+        lb.label_join(labels, cleaned.where(F.col("DataSource") == source), ["Year", "Day"]) for source in given
     ]
     sinks.write_labelled_table(reduce(DataFrame.unionByName, parts), f"{out}/labelled")
-    # The written table ends the lineage: cleaning runs once.
     labelled = spark.read.parquet(f"{out}/labelled")
     key = F.concat_ws("/", "DataSource", "Year", "Day", "id")
     split = labelled.withColumn("split", sp.hash_split(key, seed))

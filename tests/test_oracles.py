@@ -30,11 +30,8 @@ def test_model_metrics_are_proportions(spark, sf, name):
     for r in rows:
         if r["metric"] != "sample_count":
             assert 0.0 <= r["value"] <= 1.0, r
-
-
-def test_syntax_forest_learns_the_code_forms(spark, sf):
-    rows = {r["metric"]: r["value"] for r in QUERIES["per_label_forest_metrics"](spark, sf).collect()}
-    assert rows["f1_micro"] > 0.8
+    if name == "per_label_forest_metrics":  # the code forms can be told from the trees
+        assert next(r["value"] for r in rows if r["metric"] == "f1_micro") > 0.8
 
 
 def test_grid_scores(spark, sf):

@@ -13,7 +13,7 @@ from tests.harness import canonical
 QUERIES = entry.queries()
 TRAINED = {n for n in QUERIES if n.endswith("_metrics")} | {"grid_search_scores", "embed_documents", "embedding_projection"}
 PYTHON = {"page_blocks", "page_block_filter", "page_text_blocks", "syntax_valid", "repair_code", "strip_comments", "clean_code",
-          "ast_nodes", "tree_structural_counts", "tree_path_contexts", "tree_context_text", "supcon_loss", "mean_batch_loss"}
+          "ast_nodes", "tree_structural_counts", "tree_path_contexts", "tree_context_text", "embed_texts", "supcon_loss", "mean_batch_loss"}
 NARROW = ["hash_split", "code_tokens", "tfidf_tokens", "tf_l2_per_doc", "strip_imports", "snippet_preview",
           "label_matrix_to_array", "page_links", "rank_line_filter", "ast_nodes", "tree_structural_counts", "tree_path_contexts",
           "l2_normalize", "feature_union", "threshold_labels", "nested_json_explode", "page_blocks"]
