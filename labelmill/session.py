@@ -55,16 +55,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-heavy stage enough tasks when its scan yields fewer than the session has cores.
-    For scans with projections and filters only: asking for the number of tasks must not run a shuffle.
+    """Give a CPU-heavy stage even tasks when its scan is small next to the session's cores.
 
-    A table of many files already has far more scan tasks than cores and is left as it is,
-    so nothing is shuffled at scale; a single small file would otherwise be one task.
+    Spark cuts a small table into about one split per core by bytes, but a file of one row group is
+    read by a single one of them.  A table of more than two splits per core is left as it is, so
+    nothing is shuffled at scale.  For scans with projections and filters only: asking for the number
+    of splits must not run a shuffle.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= wanted:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > 2 * cores:
         return df
-    return df.repartition(wanted)
+    return df.repartition(cores)
 
 
 def values(spark: SparkSession, items: Iterable[str], name: str) -> DataFrame:
