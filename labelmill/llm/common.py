@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +79,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
         links = checkpoint(ends.where("_a != _b").select(
             F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
     return found
+
+
+def spanning_forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the given links connect, one less than the vertices at most."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        rx, ry = find(x), find(y)
+        if rx != ry:
+            root[max(rx, ry)] = min(rx, ry)
+            out.append((x, y))
+    return out

@@ -5,9 +5,12 @@ coordinate, so 160 coordinates need two permutations instead of 160.  Signatures
 share a band are candidates and are confirmed on their full shingle sets.
 
 No bucket is expanded into its pairs.  Texts with equal sets are one class.  In a bucket every member is first
-compared with the bucket's smallest member (its centre).  What that leaves, members outside the centre's
-component, is compared with the rest of the bucket, except where exact bounds rule a link out: set sizes,
-and the triangle inequality of the Jaccard distance with the two known distances to the centre.
+compared with one member, its centre: the one that shares buckets with most others over all bands.  An original
+and its many edited copies agree with the original more often than with each other, so the original is the
+centre and links most of them.  What that leaves, members outside the centre's component and those that the triangle
+inequality of the Jaccard distance does not rule out as their partners, forms clumps: what shares a bucket, over
+all bands.  A clump is compared in blocks of about 512 x 512 documents, whose intersection sizes are one product of
+0/1 matrices; a block returns a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import checkpoint, connected_components
+from labelmill.llm.common import checkpoint, connected_components, spanning_forest
 
 BANDS, ROWS = 32, 5            # a pair of similarity 0.8 shares no band with probability 0.672^32 = 3e-6
 WIDTH, PERCENT = 5, 80         # words per shingle, least similarity in percent
@@ -119,6 +122,60 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                         F.size("_a").cast("long").alias("na"), F.size("_b").cast("long").alias("nb"))
 
 
+def _intersections(a: list[np.ndarray], b: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """[i, j] number of shingles that set i of ``a`` shares with set j of ``b``."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    for side in (a, b):
+        sides.append((np.concatenate(side), np.repeat(np.arange(len(side)), [len(x) for x in side])))
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    placed = []
+    for flat, row in sides:
+        at = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
+        hit = common[at] == flat if len(common) else np.zeros(len(flat), bool)
+        order = np.argsort(at[hit], kind="stable")
+        placed.append((at[hit][order], row[hit][order]))
+    for low in range(0, len(common), columns):
+        parts = []
+        for (at, row), side in zip(placed, (a, b)):
+            s = slice(*np.searchsorted(at, [low, low + columns]))
+            m = np.zeros((len(side), min(columns, len(common) - low)), np.float32)
+            m[row[s], at[s] - low] = 1.0
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _compare_clumps(clumps: DataFrame, sets: DataFrame, comp: DataFrame, percent: int, rows: int = 512) -> DataFrame:
+    """Links (a, b) between documents of one clump and different components, thinned to a forest per block."""
+    sizes = clumps.groupBy("component").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks")).withColumnRenamed(
+        "component", "clump")
+    member = clumps.withColumnRenamed("component", "clump").join(sizes, "clump")
+    member = member.join(comp.select("id", F.col("component").alias("comp")), "id", "left").withColumn(
+        "comp", F.coalesce("comp", "id")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = member.select("clump", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                           "block", "id", "comp").join(sets, "id")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(frame["low"].iat[0]), int(frame["high"].iat[0])
+        frame = frame.sort_values("id", kind="stable")
+        a, b = frame[frame["block"] == low], frame[frame["block"] == high]
+        empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        if not len(a) or not len(b) or frame["comp"].nunique() < 2:
+            return empty
+        left, right = list(a["shingles"]), list(b["shingles"])
+        na, nb = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+        inter = _intersections(left, right)
+        link = 100 * inter >= percent * (na[:, None] + nb[None, :] - inter)
+        link &= a["comp"].to_numpy()[:, None] != b["comp"].to_numpy()[None, :]
+        i, j = np.nonzero(link)
+        found = spanning_forest(a["comp"].to_numpy()[i], b["comp"].to_numpy()[j])
+        return pd.DataFrame(found, columns=["a", "b"]) if found else empty
+
+    return checkpoint(member.groupBy("clump", "low", "high").applyInPandas(compare, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
                     percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: (key, n_shingles, component_id, kept).
@@ -140,9 +197,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     banded = member.where("id = rep").select("id", "n", F.posexplode("bands").alias("band", "hash")).distinct()
 
     # Every member of a bucket against its centre.
-    bucket = banded.groupBy("band", "hash").agg(F.min("id").alias("centre"), F.count("*").alias("m")).where("m > 1")
-    placed = checkpoint(banded.join(bucket, ["band", "hash"]).select("band", "hash", "centre", "m", "id", "n"))
-    starred = placed.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    bucket = banded.groupBy("band", "hash").agg(F.count("*").alias("m")).where("m > 1")
+    shared = checkpoint(banded.join(bucket, ["band", "hash"]))
+    ranked = shared.join(shared.groupBy("id").agg(F.sum("m").alias("company")), "id")
+    top = ranked.groupBy("band", "hash").agg(F.max("company").alias("company"))
+    # The smallest of those with most company; two aggregates of numbers, which combine before the shuffle.
+    centres = ranked.join(top, ["band", "hash", "company"]).groupBy("band", "hash").agg(F.min("id").alias("centre"))
+    placed = checkpoint(shared.join(centres, ["band", "hash"]))
+    starred = placed.where("id != centre").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
     wanted = placed.select("id").distinct()
     sets = checkpoint(source.join(wanted, "id", "left_semi").select(
         "id", _shingles(F.col("text"), width).alias("shingles")).distinct())
@@ -161,23 +223,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     whole = placed.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     whole = whole.join(comp.select(F.col("id").alias("centre"), F.col("component").alias("_c")), "centre", "left")
     whole = whole.withColumn("home", F.coalesce("_c", "centre")).drop("_c")
-    whole = checkpoint(whole.where("m > 2 and id != centre").join(
-        stars.select(F.col("a").alias("centre"), F.col("b").alias("id"), "d", "d_most"), ["centre", "id"]))
-    left = whole.where("comp != home").select(
-        "band", "hash", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"),
-        F.col("d").alias("dx"), F.col("d_most").alias("ex"))
-    # A whole bucket's rows are needed only where somebody is left over.
-    right = whole.join(left.select("band", "hash").distinct(), ["band", "hash"], "left_semi").select(
-        "band", "hash", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"),
-        (F.col("comp") != F.col("home")).alias("stray"), F.col("d").alias("dy"), F.col("d_most").alias("ey"))
-    possible = (
-        (F.col("cx") != F.col("cy")) & (~F.col("stray") | (F.col("x") < F.col("y")))
-        & (F.col("dx") <= F.col("ey") + far + 1e-9) & (F.col("dy") <= F.col("ex") + far + 1e-9)
-    )
-    rest = left.join(right, ["band", "hash"]).where(possible).select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _verify(rest, sets).where(linked).select("a", "b")
-    final = connected_components(_between(more, near)) if not more.isEmpty() else None
+    whole = whole.where("m > 2 and id != centre").withColumn("a", F.least("id", "centre")).withColumn(
+        "b", F.greatest("id", "centre"))
+    whole = checkpoint(whole.join(stars.select("a", "b", "d", "d_most"), ["a", "b"]))
+    stray = F.col("comp") != F.col("home")
+    # A partner of a stray member is at most ``far`` nearer to the centre.
+    nearest = whole.groupBy("band", "hash").agg(F.min(F.when(stray, F.col("d"))).alias("nearest"))
+    open_rows = whole.join(nearest, ["band", "hash"]).where(stray | (F.col("d_most") >= F.col("nearest") - far - 1e-9))
+    open_rows = checkpoint(open_rows.select("band", "hash", "id", "comp"))
+    first = open_rows.groupBy("band", "hash").agg(F.min("id").alias("a"))
+    clumps = connected_components(open_rows.join(first, ["band", "hash"]).select("a", F.col("id").alias("b")).distinct())
+    more = _compare_clumps(clumps, sets, comp, percent)
+    final = connected_components(more) if not more.isEmpty() else None
 
     comp = near if final is None else near.join(
         final.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left"
@@ -188,14 +245,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return _result(seen, classes, comp, key)
 
 
-def _between(links: DataFrame, near: DataFrame) -> DataFrame:
-    """Links between documents as links between the components found so far."""
-    for end in ("a", "b"):
-        root = near.select(F.col("id").alias(end), F.col("component").alias("_to"))
-        links = links.join(root, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-    return links
-
-
 def _result(seen: DataFrame, classes: DataFrame, comp: DataFrame, key: str) -> DataFrame:
     """A document's component is its class's."""
     own = seen.where("digest is not null and id is not null").join(classes, "digest").select("id", "rep")

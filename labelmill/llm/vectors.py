@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import checkpoint, connected_components
+from labelmill.llm.common import checkpoint, connected_components, spanning_forest
 
 LEAST_COSINE = 0.93
 SAMPLE_ROWS = 20_000      # vectors that the codebooks are fitted on, about
@@ -93,25 +93,6 @@ def lookup_distances(queries: np.ndarray, centre: np.ndarray, parts: list[np.nda
     return np.sqrt(total)
 
 
-def spanning_forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what the given links connect, one less than the vertices at most."""
-    root: dict[int, int] = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        rx, ry = find(x), find(y)
-        if rx != ry:
-            root[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
-    return out
-
-
 def _compare(frame: pd.DataFrame, books: dict[int, Codebook], least: float) -> pd.DataFrame:
     """Links between the queries and the list rows of one block: (a, b, n), a forest's links with n null and each
     vector's number of links with b null."""
