@@ -1,7 +1,7 @@
 """License scan by ordered signature rules, with DataFrame functions only.
 
 A text becomes its words (A-Z lowered) between single blanks.  A rule is a regular expression over that, a label, a
-level (0 is the strongest) and a keyword without which the expression is not tried.  Its places are intervals of words.  A
+level (0 is the strongest) and keywords without which the expression is not tried.  Its places are intervals of words.  A
 place is dropped if a place that starts no later and ends no earlier has a stronger or equal level: "cc by" within "cc by
 nc", a bare mention within a notice.  Sorted by start, then end downwards, this is one pass that remembers the
 farthest end per level and the labels found, whatever the number of places.
@@ -17,81 +17,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.functions.arrays import let
-from labelmill.llm.common import fresh, lower_ascii
+from labelmill.llm.common import fresh
 
 # What is not a word, and the base phrases with their labels.
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 CONFIDENCE = (1.0, 0.95, 0.8, 0.5)      # by level
 BASE_CONFIDENCE = 0.9
 
-# Names by label: the expression of the name with its version, and a keyword that each match contains.
+# Names by label: the expression of the name with its version, and keywords of which each match contains one.
 LIC = "licen[cs]e"
 V = "(?:version )?v? ?"
 NAMES: tuple[tuple[str, str, str], ...] = (
-    ("mit", rf"(?:mit|expat)(?: x11)?(?: {LIC})?", ""),
-    ("mit-0", rf"mit (?:0|no attribution)(?: {LIC})?", "mit"),
-    ("x11", rf"x11 {LIC}", "x11"),
+    ("mit", rf"(?:mit|expat)(?: x11)?(?: {LIC})?", " mit | expat "),
+    ("mit-0", rf"mit (?:0|no attribution)(?: {LIC})?", " mit "),
+    ("x11", rf"x11 {LIC}", " x11 "),
     ("apache-2", rf"apache(?: software)?(?: {LIC})?(?: {V}2(?: 0)?)", "apache"),
     ("apache-1.1", rf"apache(?: software)?(?: {LIC})? {V}1 1", "apache"),
-    ("gpl-1", rf"(?:gnu )?(?:general public {LIC}|gpl)(?: {V}1(?: 0)?)", "g"),
-    ("gpl-2", rf"(?:gnu )?(?:general public {LIC}|gpl)(?: {V}2(?: 0)?)", "g"),
-    ("gpl-3", rf"(?:gnu )?(?:general public {LIC}|gpl)(?: {V}3(?: 0)?)", "g"),
-    ("gpl", rf"(?:gnu general public {LIC}|gnu gpl|gpl)", "g"),
-    ("lgpl-2.1", rf"(?:gnu )?(?:(?:lesser|library) general public {LIC}|lgpl)(?: {V}2(?: [01])?)", "l"),
-    ("lgpl-3", rf"(?:gnu )?(?:lesser general public {LIC}|lgpl)(?: {V}3(?: 0)?)", "l"),
-    ("lgpl", rf"(?:gnu )?(?:lesser general public {LIC}|lgpl)", "l"),
-    ("agpl-3", rf"(?:gnu )?(?:affero general public {LIC}|agpl)(?: {V}3(?: 0)?)", "a"),
-    ("agpl", rf"(?:gnu )?(?:affero general public {LIC}|agpl)", "a"),
-    ("gfdl-1.3", rf"(?:gnu )?(?:free documentation {LIC}|gfdl)(?: {V}1 3)", "f"),
-    ("gfdl", rf"(?:gnu )?(?:free documentation {LIC}|gfdl)", "f"),
-    ("mpl-1.1", rf"(?:mozilla public {LIC}|mpl)(?: {V}1 1)", "m"),
-    ("mpl-2", rf"(?:mozilla public {LIC}|mpl)(?: {V}2(?: 0)?)", "m"),
-    ("epl-1", rf"(?:eclipse public {LIC}|epl)(?: {V}1(?: 0)?)", "e"),
-    ("epl-2", rf"(?:eclipse public {LIC}|epl)(?: {V}2(?: 0)?)", "e"),
+    ("gpl-1", rf"(?:gnu )?(?:general public {LIC}|gpl)(?: {V}1(?: 0)?)", "general public|gpl"),
+    ("gpl-2", rf"(?:gnu )?(?:general public {LIC}|gpl)(?: {V}2(?: 0)?)", "general public|gpl"),
+    ("gpl-3", rf"(?:gnu )?(?:general public {LIC}|gpl)(?: {V}3(?: 0)?)", "general public|gpl"),
+    ("gpl", rf"(?:gnu general public {LIC}|gnu gpl|gpl)", "general public|gpl"),
+    ("lgpl-2.1", rf"(?:gnu )?(?:(?:lesser|library) general public {LIC}|lgpl)(?: {V}2(?: [01])?)", "general public|gpl"),
+    ("lgpl-3", rf"(?:gnu )?(?:lesser general public {LIC}|lgpl)(?: {V}3(?: 0)?)", "general public|gpl"),
+    ("lgpl", rf"(?:gnu )?(?:lesser general public {LIC}|lgpl)", "general public|gpl"),
+    ("agpl-3", rf"(?:gnu )?(?:affero general public {LIC}|agpl)(?: {V}3(?: 0)?)", "affero|agpl"),
+    ("agpl", rf"(?:gnu )?(?:affero general public {LIC}|agpl)", "affero|agpl"),
+    ("gfdl-1.3", rf"(?:gnu )?(?:free documentation {LIC}|gfdl)(?: {V}1 3)", "free documentation|gfdl"),
+    ("gfdl", rf"(?:gnu )?(?:free documentation {LIC}|gfdl)", "free documentation|gfdl"),
+    ("mpl-1.1", rf"(?:mozilla public {LIC}|mpl)(?: {V}1 1)", "mozilla| mpl "),
+    ("mpl-2", rf"(?:mozilla public {LIC}|mpl)(?: {V}2(?: 0)?)", "mozilla| mpl "),
+    ("epl-1", rf"(?:eclipse public {LIC}|epl)(?: {V}1(?: 0)?)", "eclipse| epl "),
+    ("epl-2", rf"(?:eclipse public {LIC}|epl)(?: {V}2(?: 0)?)", "eclipse| epl "),
     ("bsd-2", rf"(?:(?:2|two) clause bsd|bsd (?:2|two) clause|simplified bsd|freebsd)(?: {LIC})?", "bsd"),
     ("bsd-3", rf"(?:(?:3|three) clause bsd|bsd (?:3|three) clause|(?:new|modified|revised) bsd)(?: {LIC})?", "bsd"),
     ("bsd-4", rf"(?:(?:4|four) clause bsd|bsd (?:4|four) clause|original bsd)(?: {LIC})?", "bsd"),
     ("bsd-0", rf"(?:zero clause bsd|0bsd|bsd zero clause)(?: {LIC})?", "bsd"),
-    ("bsd", rf"(?:bsd|berkeley software distribution) {LIC}", "b"),
+    ("bsd", rf"(?:bsd|berkeley software distribution) {LIC}", " bsd |berkeley"),
     ("isc", rf"isc {LIC}", "isc"),
     ("zlib", rf"zlib(?: libpng)? {LIC}", "zlib"),
     ("boost-1", rf"boost software {LIC}(?: {V}1(?: 0)?)?", "boost"),
     ("unlicense", "(?:the unlicense|unlicense)", "unlicense"),
-    ("wtfpl", "(?:wtfpl|do what the fuck you want to public license)", "w"),
-    ("cc0", "(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", "c"),
-    ("cc-by", "(?:cc by|creative commons attribution)(?: [1-4] [05])?(?: international)?", "c"),
-    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?(?: international)?", "c"),
-    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] [05])?(?: international)?", "c"),
-    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?(?: international)?", "c"),
-    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", "c"),
-    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] [05])?", "c"),
+    ("wtfpl", "(?:wtfpl|do what the fuck you want to public license)", "wtfpl|do what the fuck"),
+    ("cc0", "(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", "cc0|cc zero|creative commons zero"),
+    ("cc-by", "(?:cc by|creative commons attribution)(?: [1-4] [05])?(?: international)?", " cc by|creative commons"),
+    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?(?: international)?", " cc by|creative commons"),
+    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] [05])?(?: international)?", " cc by|creative commons"),
+    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?(?: international)?", " cc by|creative commons"),
+    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", " cc by|creative commons"),
+    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] [05])?", " cc by|creative commons"),
     ("artistic-1", rf"artistic {LIC}(?: {V}1(?: 0)?)", "artistic"),
     ("artistic-2", rf"artistic {LIC}(?: {V}2(?: 0)?)", "artistic"),
-    ("eupl-1.2", rf"(?:european union public {LIC}|eupl)(?: {V}1 2)?", "e"),
-    ("ofl-1.1", rf"(?:sil )?open font {LIC}(?: {V}1 1)?", "font"),
+    ("eupl-1.2", rf"(?:european union public {LIC}|eupl)(?: {V}1 2)?", "european union|eupl"),
+    ("ofl-1.1", rf"(?:sil )?open font {LIC}(?: {V}1 1)?", "open font"),
     ("postgresql", rf"postgresql {LIC}", "postgresql"),
-    ("python-2", rf"(?:python software foundation {LIC}|psf {LIC})(?: {V}2(?: 0)?)?", "p"),
+    ("python-2", rf"(?:python software foundation {LIC}|psf {LIC})(?: {V}2(?: 0)?)?", "python software| psf "),
     ("openssl", rf"openssl {LIC}", "openssl"),
     ("ncsa", rf"(?:university of illinois )?ncsa(?: open source)? {LIC}", "ncsa"),
     ("vim", rf"vim {LIC}", "vim"),
-    ("ms-pl", rf"(?:microsoft public {LIC}|ms pl)", "m"),
-    ("ms-rl", rf"(?:microsoft reciprocal {LIC}|ms rl)", "m"),
-    ("cddl-1", rf"(?:common development and distribution {LIC}|cddl)(?: {V}1 [01])?", "c"),
-    ("osl-3", rf"open software {LIC}(?: {V}3(?: 0)?)?", "open"),
-    ("afl-3", rf"academic free {LIC}(?: {V}3(?: 0)?)?", "academic"),
-    ("ecl-2", rf"educational community {LIC}(?: {V}2(?: 0)?)?", "educational"),
-    ("odbl-1", rf"open (?:data commons open )?database {LIC}(?: {V}1 0)?", "database"),
-    ("sspl-1", rf"(?:server side public {LIC}|sspl)(?: {V}1)?", "s"),
-    ("busl-1.1", rf"business source {LIC}(?: {V}1 1)?", "business"),
+    ("ms-pl", rf"(?:microsoft public {LIC}|ms pl)", "microsoft| ms pl"),
+    ("ms-rl", rf"(?:microsoft reciprocal {LIC}|ms rl)", "microsoft| ms rl"),
+    ("cddl-1", rf"(?:common development and distribution {LIC}|cddl)(?: {V}1 [01])?", "common development|cddl"),
+    ("osl-3", rf"open software {LIC}(?: {V}3(?: 0)?)?", "open software"),
+    ("afl-3", rf"academic free {LIC}(?: {V}3(?: 0)?)?", "academic free"),
+    ("ecl-2", rf"educational community {LIC}(?: {V}2(?: 0)?)?", "educational community"),
+    ("odbl-1", rf"open (?:data commons open )?database {LIC}(?: {V}1 0)?", "database licen"),
+    ("sspl-1", rf"(?:server side public {LIC}|sspl)(?: {V}1)?", "server side public|sspl"),
+    ("busl-1.1", rf"business source {LIC}(?: {V}1 1)?", "business source"),
 )
-# Sentences around a name: level and expression, {} being the name.
+# Sentences around a name: level, keyword and expression, {} being the name.
 NOTICE = "(?:licensed|released|distributed|published|available|provided|covered|made available|redistribute it)"
 TEMPLATES = (
-    (0, "spdx license identifier {}"),
-    (1, NOTICE + " under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}(?: " + LIC + ")?"),
-    (1, "subject to (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}(?: " + LIC + ")?"),
-    (2, "(?:the )?{} " + LIC),
+    (0, "spdx", "spdx license identifier {}"),
+    (1, " under ", NOTICE + " under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}(?: " + LIC + ")?"),
+    (1, "subject to", "subject to (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}(?: " + LIC + ")?"),
+    (2, " licen", "(?:the )?{} " + LIC),
 )
 # Rules without a template: label, level, expression, keyword.
 SINGLE = (
@@ -110,19 +110,21 @@ SINGLE = (
     ("other", 3, "(?:licensed|released) under (?:the )?[a-z0-9]+", "under"),
 )
 STEMS = ("licen", "lizenz", "copyright", "rights reserved", "public domain", " cc ", "cc0", "creative commons", "gpl", "spdx",
-         " mit ", "apache", "wtfpl", "eupl", "mpl ", "bsd", "sspl", "cddl", "copying", "reproduced", "copied", "redistribut",
-         "permission", "warranty", "proprietary", "compliance", " ms ")
+         " under mit ", " under the mit ", " under expat ", " under the expat ", "apache", "wtfpl", "eupl", " mpl ", " epl ",
+         " bsd ", "freebsd", "0bsd", "sspl", "cddl", "gfdl", "subject to", " ms pl", " ms rl", "permission is hereby",
+         "redistribution and use", "express or implied", "proprietary", "may not be", "copying")
 
 
-def rules() -> list[tuple[int, str, int, str, str]]:
-    """(order, label, level, keyword, expression): each name in each template, each name alone, and the single rules."""
+def rules() -> list[tuple[int, str, int, list[str], str, str]]:
+    """(order, label, level, keywords of which one must occur, keyword that must occur, expression): each name in each template,
+    each name alone, and the single rules."""
     out = []
     for label, name, word in NAMES:
-        for level, sentence in TEMPLATES:
-            out.append((label, level, word, sentence.format(f"(?:{name})")))
+        for level, sign, sentence in TEMPLATES:
+            out.append((label, level, word.split("|"), sign, sentence.format(f"(?:{name})")))
         if label != "mit":  # three letters alone say nothing
-            out.append((label, 3, word, name))
-    out += [(label, level, word, sentence) for label, level, sentence, word in SINGLE]
+            out.append((label, 3, word.split("|"), "", name))
+    out += [(label, level, [word], "", sentence) for label, level, sentence, word in SINGLE]
     return [(i, *rule) for i, rule in enumerate(out)]
 
 
@@ -136,8 +138,12 @@ def _whole(expression: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """Words between single blanks, a blank at both ends; one blank without words."""
-    inner = F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), GAP, " "))
+    """Words between single blanks, a blank at both ends; one blank without words.
+
+    ``lower`` stands in for lowering A-Z: what else it lowers stays one word's character, and the one character it turns
+    into an ASCII letter gives a k, which no base phrase has.
+    """
+    inner = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), GAP, " ")))
     return let(inner, lambda s: F.when(s == "", " ").otherwise(F.concat(F.lit(" "), s, F.lit(" "))))
 
 
@@ -208,12 +214,13 @@ def scan_licenses(docs: DataFrame, output: str, text: str = "text") -> DataFrame
     strings are empty and the score 0.  Rows are independent: repeated rows get equal results.
     """
     listed = F.array(*[F.struct(
-        F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(level).alias("level"), F.lit(word).alias("word"),
-        F.lit(pattern).alias("pattern")) for i, label, level, word, pattern in rules()])
+        F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(level).alias("level"),
+        F.array(*[F.lit(w) for w in words]).alias("words"), F.lit(sign).alias("sign"), F.lit(pattern).alias("pattern"))
+        for i, label, level, words, sign, pattern in rules()])
 
     def judged(norm: Column) -> Column:
         gate = reduce(lambda a, b: a | b, [F.contains(norm, F.lit(s)) for s in STEMS])
-        tried = F.filter(listed, lambda r: F.contains(norm, r["word"]))
+        tried = F.filter(listed, lambda r: F.contains(norm, r["sign"]) & F.exists(r["words"], lambda w: F.contains(norm, w)))
         own = F.when(gate, _survivors(F.flatten(F.transform(tried, lambda r: _places(norm, r)))))
 
         def whole(base: Column, more: Column) -> Column:
