@@ -23,15 +23,14 @@ CELLS = 4096              # parts of the unit interval that slots and sources me
 MOST_PASSES = 3
 WEIGHTS = (1.0, 2.0, 3.0)
 # Fixed value: what separates tokens.
-TOKEN = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]+"
 # Multipliers of the permutations: primes, so that they share no factor with a smaller block number.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
 
 
 def token_count(text: Column) -> Column:
     """Runs of other characters than ASCII white space; 0 for null."""
-    blank = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    squeezed = F.trim(F.regexp_replace(blank, " {2,}", " "))
+    squeezed = F.trim(F.regexp_replace(text, SPACE, " "))
     spaces = F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit("")))
     return F.coalesce(F.when(squeezed != "", spaces + 1), F.lit(0)).cast("long")
 
@@ -169,7 +168,7 @@ def mixed_counts(docs: DataFrame, **settings) -> DataFrame:
 def mixed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """(shard, slot, text): every slot's tokens, joined by a blank.  Keys must be unique and not null."""
     _, _, pieces = mix(docs, key, text, **settings)
-    tokens = F.filter(F.split(F.translate(F.col(text), "\t\n\x0b\x0c\r", "     "), " "), lambda t: t != "")
+    tokens = F.filter(F.split(F.col(text), SPACE), lambda t: t != "")
     whole = docs.select(F.col(key).alias("doc_id"), tokens.alias("_t"))
     parts = pieces.join(whole, "doc_id").select(
         "shard", "slot", "place", F.array_join(F.slice("_t", F.col("first").cast("int") + 1, F.col("n_tokens").cast("int")), " ").alias("_p"))
