@@ -142,3 +142,30 @@ def page_blocks(html: str | None, spec: BlockSpec) -> list[tuple]:
     parser.close()
     parser.flush()
     return [b.row() for b in parser.done]
+
+
+class _LinkParser(HTMLParser):
+    """Targets of the anchors inside an element, in document order."""
+
+    def __init__(self, within: str | None) -> None:
+        super().__init__(convert_charrefs=True)
+        self.within, self.inside, self.found = within, 0, []
+
+    def handle_starttag(self, tag, attrs) -> None:
+        if tag == self.within:
+            self.inside += 1
+        elif tag == "a" and (self.within is None or self.inside):
+            self.found += [value or "" for name, value in attrs if name == "href"][:1]
+
+    def handle_endtag(self, tag) -> None:
+        if tag == self.within and self.inside:
+            self.inside -= 1
+
+
+def page_links(html: str | None, within: str | None = "td") -> list[str]:
+    """Targets of the page's anchors with character references decoded; ``within`` names the element they must be
+    inside, None takes every anchor."""
+    parser = _LinkParser(within)
+    parser.feed(html or "")
+    parser.close()
+    return parser.found

@@ -57,53 +57,35 @@ def repaired_or_none(code):
     return fixed if compiles(fixed) else None
 
 
-# Literal parts of f-strings, where the tokenizer has them.
-_FSTRING_TEXT = {getattr(tokenize, n) for n in ("FSTRING_MIDDLE", "TSTRING_MIDDLE") if hasattr(tokenize, n)}
-
-
-class _Columns:
-    """Rebuilds source text from kept tokens, restoring the gaps between them as blanks."""
-
-    def __init__(self) -> None:
-        self.parts: list[str] = []
-        self.row, self.col = -1, 0
-
-    def gap(self, start: tuple[int, int]) -> None:
-        if start[0] > self.row:
-            self.col = 0
-        self.parts.append(" " * max(start[1] - self.col, 0))
-
-    def moved(self, end: tuple[int, int]) -> None:
-        self.row, self.col = end
+def _removable(tokens: list[tokenize.TokenInfo]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """(start, end) of every comment and of every plain string that opens a statement or starts in column 0."""
+    opens = True  # the first token opens a statement
+    spans = []
+    for t in tokens:
+        if t.type == tokenize.COMMENT or t.type == tokenize.STRING and (opens or t.start[1] == 0):
+            spans.append((t.start, t.end))
+        opens = t.type in (tokenize.NEWLINE, tokenize.INDENT)
+    return spans
 
 
 def without_comments(code):
     """Source minus comments and statement-position strings; None when it cannot be tokenised.
 
-    A string goes when it opens a statement (right after an indent or a logical line end) or
-    when it starts in column 0.  An f-string is kept in every position.
+    The spans are cut out of the source lines; everything else, a backslash continuation included, stays as it
+    is.  A string goes when it follows an indent or a logical line's end, or starts in column 0.  An f-string is
+    kept in every position.
     """
     if not isinstance(code, str):
         return None
-    opening = (tokenize.INDENT, tokenize.NEWLINE)
-    out, before = _Columns(), tokenize.INDENT
     try:
-        for tok in tokenize.generate_tokens(io.StringIO(code).readline):
-            out.gap(tok.start)
-            docstring = tok.type == tokenize.STRING and (before in opening or tok.start[1] == 0)
-            end = tok.end
-            if tok.type != tokenize.COMMENT and not docstring:
-                text = tok.string
-                if tok.type in _FSTRING_TEXT:
-                    # Doubled braces of the source arrive as single ones, and the end column is short by them.
-                    end = (end[0], end[1] + len(re.findall(r"[{}]", text.rpartition("\n")[2])))
-                    text = re.sub(r"([{}])", r"\1\1", text)
-                out.parts.append(text)
-            before = tok.type
-            out.moved(end)
+        spans = _removable(list(tokenize.generate_tokens(io.StringIO(code).readline)))
     except (tokenize.TokenError, SyntaxError, RecursionError):
         return None
-    return "".join(out.parts)
+    lines = io.StringIO(code).readlines()
+    # From the last span to the first, so that earlier places stay valid.
+    for (top, left), (bottom, right) in reversed(spans):
+        lines[top - 1:bottom] = [lines[top - 1][:left] + lines[bottom - 1][right:]]
+    return "".join(lines)
 
 
 def _worker_udf(fn, ddl: str):

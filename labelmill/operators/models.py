@@ -15,9 +15,10 @@ from itertools import product
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +28,15 @@ from labelmill.operators import evaluate as ev
 from labelmill.operators import vectors as vec
 from labelmill.session import ensure_checkpoint_dir, values
 
-MAX_BAG_TERMS = 1 << 18
-DEEP_ROWS = 10_000_000
+BAG_WIDTH = 1 << 18     # hashed tokens of a logistic model
+FOREST_WIDTH = 1 << 10  # hashed tokens of a forest, which bins every column of every row
+FIT_ROWS = 1_000_000    # labelled rows that a forest is fitted on, about; scoring takes all rows
 
 # Model settings.
 BOW_C, BOW_ITERATIONS = 10.0, 200
 NGRAM_TREES = 100
-SYNTAX_TREES, SYNTAX_DEPTH, SYNTAX_MIN_SPLIT, SYNTAX_THRESHOLD = 200, 20, 4, 0.5
+SYNTAX_TREES, SYNTAX_DEPTH, SYNTAX_MIN_SPLIT, SYNTAX_THRESHOLD, SYNTAX_MIN_DF = 200, 20, 4, 0.5, 2
+LEAST_VARIANCE = 0.001 * 0.999
 EMBEDDING_TREES, EMBEDDING_DEPTH, EMBEDDING_MIN_SPLIT = 100, 10, 5
 SPARK_MAX_DEPTH = 30
 FALLBACK_FLOOR = 0.1
@@ -42,6 +45,12 @@ SEED = 42
 
 # ---- features --------------------------------------------------------------------------------
 
+def hashed_bag(tokens: str, output: str, width: int = BAG_WIDTH) -> HashingTF:
+    """Counts of hashed tokens as a sparse vector of ``width``: nothing is fitted, no term is dropped, and terms share a place
+    when there are more of them than places."""
+    return HashingTF(inputCol=tokens, outputCol=output, numFeatures=width)
+
+
 def bag_stage(vocabulary: Sequence[str], tokens: str, output: str) -> CountVectorizerModel:
     """Counts over a fixed vocabulary as a sparse vector; narrow, the vocabulary is bounded by its cap."""
     return CountVectorizerModel.from_vocabulary(list(vocabulary), tokens, output)
@@ -52,14 +61,8 @@ def collect_vocabulary(terms: DataFrame, max_features: int, *columns: str) -> li
     return sorted(terms.select("term", *columns).limit(max_features).collect(), key=lambda r: r["term"])
 
 
-def fit_bag(train: DataFrame, doc: str, tokens: str, output: str, max_features: int = MAX_BAG_TERMS,
-            min_df: int = 1) -> CountVectorizerModel:
-    terms = vec.top_terms(vec.count_terms(train, doc, F.col(tokens)), max_features, min_df)
-    return bag_stage([r["term"] for r in collect_vocabulary(terms, max_features)], tokens, output)
-
-
-def fit_tfidf_stages(train: DataFrame, doc: str, tokens: str, output: str, max_features: int = 7500,
-                     min_df: int = 2) -> list[Model]:
+def fit_tfidf_stages(train: DataFrame, doc: str, tokens: str, output: str, max_features: int,
+                     min_df: int) -> list[Model]:
     """TF-IDF as Spark ML stages: counts x (idf) per term, then unit length."""
     counts = vec.count_terms(train, doc, F.col(tokens))
     idf = vec.fit_tfidf(counts, train.agg(F.count("*")).scalar(), max_features, min_df)
@@ -78,6 +81,16 @@ def feature_pipeline(stages: Iterable[Model], blocks: Sequence[str], output: str
     return PipelineModel([*stages, VectorAssembler(inputCols=list(blocks), outputCol=output)])
 
 
+def with_variance_selection(pipeline: PipelineModel, rows: DataFrame, column: str, output: str = "features",
+                            threshold: float = LEAST_VARIANCE) -> PipelineModel:
+    """``pipeline`` and a stage that keeps the columns of ``column`` whose variance over ``rows`` is above the threshold; all of
+    them when none is.  One pass; the driver gets a number per column."""
+    variance = rows.select(Summarizer.variance(F.col(column)).alias("v")).head()["v"]
+    kept = [i for i, v in enumerate(variance.toArray()) if v > threshold]
+    indices = kept or list(range(len(variance)))
+    return PipelineModel([*pipeline.stages, VectorSlicer(inputCol=column, outputCol=output, indices=indices)])
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and cut the lineage there."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -109,15 +122,15 @@ def count_positives(df: DataFrame, labels: str, classes: Sequence[str]) -> tuple
 Build = Callable[[int, int], Estimator]
 
 
-def logistic(c: float = BOW_C, max_iter: int = BOW_ITERATIONS) -> Build:
-    """L2 logistic regression; an inverse strength C over n rows is a Spark regParam of 1 / (C n)."""
+def logistic(c: float = BOW_C, max_iter: int = BOW_ITERATIONS, aggregation_depth: int = 2) -> Build:
+    """L2 logistic regression; an inverse strength C over n rows is a Spark regParam of 1 / (C n).  With very many tasks a
+    larger ``aggregation_depth`` sums the gradients, as wide as the features, in more levels."""
 
     def build(n: int, positives: int) -> Estimator:
         return LogisticRegression(
             featuresCol="features", labelCol="_y", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0,
             standardization=False, maxIter=max_iter, tol=1e-4,
-            # A gradient is as wide as the vocabulary: with many tasks, sum it in one more level.
-            aggregationDepth=2 if n < DEEP_ROWS else 3,
+            aggregationDepth=aggregation_depth,
         )
 
     return build
@@ -126,12 +139,14 @@ def logistic(c: float = BOW_C, max_iter: int = BOW_ITERATIONS) -> Build:
 def forest(trees: int, depth: int | None = None, min_split: int = 2, min_leaf: int = 1, balanced: bool = False,
            seed: int = SEED) -> Build:
     """Random forest with sqrt features.  Spark has no minimum to split a node, so half of it is asked
-    of each child; an open depth is Spark's largest."""
+    of each child; an open depth is Spark's largest, and a larger one is an error."""
+    if depth is not None and depth > SPARK_MAX_DEPTH:
+        raise ValueError(f"a forest's depth is at most {SPARK_MAX_DEPTH}, not {depth}")
 
     def build(n: int, positives: int) -> Estimator:
         extra = {"weightCol": "_w"} if balanced else {}
         return RandomForestClassifier(
-            featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=min(depth or SPARK_MAX_DEPTH, SPARK_MAX_DEPTH),
+            featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=depth or SPARK_MAX_DEPTH,
             minInstancesPerNode=max(min_leaf, min_split // 2), featureSubsetStrategy="sqrt", seed=seed, **extra,
         )
 
@@ -189,12 +204,17 @@ class LabelModels:
 
 
 def fit_labels(train: DataFrame, labels: str, classes: Sequence[str], build: Build, min_positives: int = 1,
-               parallelism: int = 4) -> LabelModels:
+               parallelism: int = 4, max_rows: int | None = None) -> LabelModels:
     """Fit one binary model per class on ``train(features, labels)``.
 
+    ``max_rows`` bounds the rows that are fitted on: about so many, sampled, which bounds a forest's size as well.
+
     A class with too few positives is skipped (probability 0); one that every row has is constant 1.
     """
     n, positives = count_positives(train, labels, classes)
+    if max_rows is not None and n > max_rows:
+        train = train.sample(max_rows / n, SEED)
+        n, positives = count_positives(train, labels, classes)
     fitted = LabelModels(list(classes))
     todo = []
     for c in classes:

@@ -6,23 +6,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.functions.html import BlockSpec, page_blocks
+from labelmill.functions.html import BlockSpec, page_blocks, page_links
 from labelmill.functions.pycode import repair_or_drop
 from labelmill.functions.text import RANK_LINE_RE, strip_space
 
-# Patterns of links and of thread names.
-HREF_RE = r'<a href="([^"]*)"'
+# Fixed value: the pattern of thread names.
 PUZZLE_RE = r"(\d{4})_day_(\d{1,2})"
 
 PAGES_PER_BATCH = 256
 
 
-def extract_links(pages: DataFrame, html: str, *keep: str) -> DataFrame:
-    """Every anchor target in document order as (keep..., day, href).  The position defines the day."""
-    found = F.posexplode(F.regexp_extract_all(F.col(html), F.lit(HREF_RE), F.lit(1)))
-    return pages.select(*keep, found.alias("_pos", "href")).select(
-        *keep, (F.col("_pos") + 1).alias("day"), "href"
-    )
+def _parse_pages(pages: DataFrame, html: str, keep: tuple[str, ...], parse, fields: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """Rows (keep..., fields...) of every page; ``parse`` gives a page's rows in order.
+
+    A page is parsed in its own task row, batch by batch; only the kept columns and the page reach Python.
+    """
+    ddl = [f"`{f.name}`: {f.dataType.simpleString()}" for f in pages.select(*keep).schema.fields]
+    ddl += [f"{name}: {kind}" for name, (kind, _) in fields.items()]
+    names, kinds = [*keep, *fields], [kind for _, kind in fields.values()]
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAGES_PER_BATCH):
+                part = batch.slice(start, PAGES_PER_BATCH)
+                texts = part.column(part.num_columns - 1).to_pylist()
+                found = [(i, *row) for i, page in enumerate(texts) for row in parse(page)]
+                source, *values = zip(*found) if found else ((),) * (len(fields) + 1)
+                rows = pa.array(source, pa.int64())
+                kept = [part.column(c).take(rows) for c in range(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, values, kinds)], names=names)
+
+    return pages.select(*keep, html).mapInArrow(run, f"struct<{', '.join(ddl)}>")
+
+
+def extract_links(pages: DataFrame, html: str, *keep: str, within: str | None = "td") -> DataFrame:
+    """Targets of the anchors inside ``within`` elements (None: of all) in document order as (keep..., day, href).
+    The position defines the day.  Any order and quoting of attributes; character references are decoded."""
+    return _parse_pages(pages, html, keep, lambda page: enumerate(page_links(page, within), 1), {
+        "day": ("int", pa.int32()), "href": ("string", pa.string())})
 
 
 def rewrite_url(url: Column, year: Column, base: str, odd_year: int = 2023) -> Column:
@@ -53,32 +74,11 @@ def puzzle_key(url: Column) -> Column:
 
 
 def extract_blocks(pages: DataFrame, html: str, *keep: str, spec: BlockSpec | None = None) -> DataFrame:
-    """One row per comment block: (keep..., pos, author, body, code).
-
-    A page is parsed in its own task row, batch by batch; only the kept columns and the page
-    reach Python.
-    """
+    """One row per comment block: (keep..., pos, author, body, code)."""
     spec = spec or BlockSpec()
-    ddl = [f"`{f.name}`: {f.dataType.simpleString()}" for f in pages.select(*keep).schema.fields]
-    names = [*keep, "pos", "author", "body", "code"]
-    kinds = (pa.int32(), pa.string(), pa.string(), pa.string())
-
-    def parse(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, PAGES_PER_BATCH):
-                part = batch.slice(start, PAGES_PER_BATCH)
-                found = [
-                    (i, pos, *block)
-                    for i, page in enumerate(part.column(part.num_columns - 1).to_pylist())
-                    for pos, block in enumerate(page_blocks(page, spec))
-                ]
-                source, *values = zip(*found) if found else ((),) * 5
-                rows = pa.array(source, pa.int64())
-                kept = [part.column(c).take(rows) for c in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, values, kinds)], names=names)
-
-    schema = f"struct<{', '.join([*ddl, 'pos: int, author: string, body: string, code: string'])}>"
-    return pages.select(*keep, html).mapInArrow(parse, schema)
+    return _parse_pages(pages, html, keep, lambda page: ((i, *block) for i, block in enumerate(page_blocks(page, spec))), {
+        "pos": ("int", pa.int32()), "author": ("string", pa.string()), "body": ("string", pa.string()),
+        "code": ("string", pa.string())})
 
 
 def has_rank_line(body: Column) -> Column:

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from labelmill.functions.arrays import term_counts
 
-TOP_BUCKETS = 64   # first level of the two-level top-k
-
 
 def count_terms(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
     """(doc, term, cnt); counted inside each document row, so nothing is shuffled."""
@@ -33,21 +31,29 @@ def apply_vocabulary(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return counts.join(vocabulary.select("term"), "term", "left_semi").select(*counts.columns)
 
 
-def top_terms(counts: DataFrame, max_features: int = 7500, min_df: int = 2) -> DataFrame:
-    """(term, df, total): terms in at least ``min_df`` documents, then the ``max_features`` most
-    frequent by total count, ties by term.
+def top_terms(counts: DataFrame, max_features: int | None, min_df: int) -> DataFrame:
+    """(term, df, total): terms in at least ``min_df`` documents, then the ``max_features`` most frequent by total
+    count, ties by term; None keeps all.
 
-    A plain limit would send ``max_features`` rows of every partition to one task.  Each of 64 hash
-    buckets keeps its best first, so the last task sees 64 x ``max_features`` rows at most.
+    How many terms have each total gives the total at rank ``max_features``: terms above it stay by a filter, and only
+    the terms that have just that total are ordered.  No task sorts the vocabulary.
     """
-    order = [F.desc("total"), F.asc("term")]
-    bucket = Window.partitionBy(F.pmod(F.hash("term"), F.lit(TOP_BUCKETS))).orderBy(*order)
     terms = fit_vocabulary(counts).where(F.col("df") >= min_df)
-    best = terms.withColumn("_r", F.row_number().over(bucket)).where(F.col("_r") <= max_features).drop("_r")
-    return best.orderBy(*order).limit(max_features)
-
-
-def fit_tfidf(counts: DataFrame, n_docs: Column, max_features: int = 7500, min_df: int = 2) -> DataFrame:
+    if max_features is None:
+        return terms
+    held = terms.groupBy("total").agg(F.count("*").alias("n"))  # a row per different total
+    above = F.sum("n").over(Window.orderBy(F.desc("total"))) - F.col("n")
+    cut = held.select("total", above.alias("above")).where(F.col("above") < max_features).agg(
+        F.min(F.struct("total", "above")).alias("cut"))
+    edge = cut.select(F.col("cut.total").alias("_total"), (max_features - F.col("cut.above")).alias("_room"))
+    least, room = edge.select("_total").scalar(), edge.select("_room").scalar()
+    ties = Window.partitionBy("total").orderBy("term")
+    last = terms.where(F.col("total") == least).withColumn("_r", F.row_number().over(ties)).where(
+        F.col("_r") <= room).drop("_r")
+    return terms.where(F.col("total") > least).unionByName(last)
+
+
+def fit_tfidf(counts: DataFrame, n_docs: Column, max_features: int | None, min_df: int) -> DataFrame:
     """(term, idf) with idf = ln((1 + n) / (1 + df)) + 1."""
     terms = top_terms(counts, max_features, min_df)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
@@ -65,15 +71,12 @@ def transform_tfidf(counts: DataFrame, idf: DataFrame, doc: str) -> DataFrame:
     return raw.select(doc, "term", (F.col("_w") / norm).alias("weight"))
 
 
-def tfidf(docs: DataFrame, doc: str, tokens: Column, max_features: int = 7500, min_df: int = 2) -> DataFrame:
-    """Fit and transform on the same documents; documents without tokens count in n.
-
-    The transform's documents are placed by their id before they are taken apart, which moves each text
-    once and spares the larger shuffle of its (document, term, weight) rows for the norm.
-    """
+def tfidf(docs: DataFrame, doc: str, tokens: Column, max_features: int | None, min_df: int) -> DataFrame:
+    """Fit and transform on the same documents; documents without tokens count in n.  Texts are not shuffled, only
+    the (document, term, weight) rows of the vocabulary are, for the norm."""
     n_docs = docs.agg(F.count("*")).scalar()
     idf = fit_tfidf(count_terms(docs, doc, tokens), n_docs, max_features, min_df)
-    return transform_tfidf(count_terms(docs.repartition(F.col(doc)), doc, tokens), idf, doc)
+    return transform_tfidf(count_terms(docs, doc, tokens), idf, doc)
 
 
 def feature_union(blocks: dict[str, DataFrame], doc: str, value: str = "value") -> DataFrame:
@@ -93,10 +96,10 @@ def term_variance(values: DataFrame, n_rows: Column, value: str = "value") -> Da
     return sums.select("term", (F.col("_q") / n_rows - mean * mean).alias("variance"))
 
 
-def variance_filter(values: DataFrame, n_rows: Column, value: str = "value", min_columns: int = 15_000,
+def variance_filter(values: DataFrame, n_rows: Column, value: str = "value", min_columns: int = 0,
                     threshold: float = 0.001 * 0.999) -> DataFrame:
-    """(term, variance, kept).  Applies only above ``min_columns`` columns, and keeps every column
-    when none would remain."""
+    """(term, variance, kept).  Keeps every column when none would remain; ``min_columns`` opts in to keeping every column
+    of tables that have no more than that."""
     stats = term_variance(values, n_rows, value)
     passes = F.col("variance") > threshold
     totals = stats.agg(F.count("*").alias("columns"), F.count_if(passes).alias("passing"))
@@ -104,7 +107,7 @@ def variance_filter(values: DataFrame, n_rows: Column, value: str = "value", min
     return stats.withColumn("kept", ~active | passes)
 
 
-def feature_shape(values: DataFrame, n_rows: Column, min_columns: int = 15_000) -> DataFrame:
+def feature_shape(values: DataFrame, n_rows: Column, min_columns: int = 0) -> DataFrame:
     """(n_rows, n_columns, n_selected)."""
     return variance_filter(values, n_rows, min_columns=min_columns).agg(
         F.count("*").alias("n_columns"), F.count_if("kept").alias("n_selected")

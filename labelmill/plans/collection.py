@@ -51,7 +51,7 @@ def source_tag(spark, sf):
 
 
 def page_links(spark, sf):
-    return pg.extract_links(spread(table(spark, sf, "pages").select("page_id", "html")), "html", "page_id")
+    return pg.extract_links(spread(table(spark, sf, "pages").select("page_id", "html")), "html", "page_id", within=None)
 
 
 def _year_day(df):
@@ -142,7 +142,7 @@ def repo_parts(spark, sf):
 
 def distinct_links(spark, sf):
     pages = spread(table(spark, sf, "pages").select("page_id", "html"))
-    links = pg.extract_links(pages.withColumn("year", (2015 + F.col("page_id") % 9).cast("int")), "html", "year")
+    links = pg.extract_links(pages.withColumn("year", (2015 + F.col("page_id") % 9).cast("int")), "html", "year", within=None)
     return pg.distinct_links(links, "year", "day", "href")
 
 

@@ -70,8 +70,8 @@ EVAL_CLASSES = ["english", "quality", "toxic", "unused"]
 PREDICTED = ["english", "quality", "toxic", "other"]
 
 
-def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, source, y_true, y_pred): labels table against simple text rules.  'other' is only
+def predictions(spark: SparkSession, sf: str, *more: Column) -> DataFrame:
+    """(doc_id, source, y_true, y_pred, more...): labels table against simple text rules.  'other' is only
     ever predicted and lies outside the evaluated classes; 'unused' never occurs."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text", "n_chars")
     flags = docs.select(
@@ -79,14 +79,15 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
         F.contains("text", F.lit(" the ")).cast("int").alias("english"),
         (F.col("n_chars") > 2000).cast("int").alias("quality"),
         F.contains("text", F.lit("###")).cast("int").alias("toxic"),
-        (F.col("n_chars") < 300).cast("int").alias("other"),
+        (F.col("n_chars") < 300).cast("int").alias("other"), *more,
     )
     # The rules run before the join, so no text is shuffled.
-    scored = flags.select("doc_id", "source", "lang", marked_columns(PREDICTED, 1).alias("y_pred"))
+    names = [c for c in flags.columns if c not in ("doc_id", "source", "lang", *PREDICTED)]
+    scored = flags.select("doc_id", "source", "lang", marked_columns(PREDICTED, 1).alias("y_pred"), *names)
     joined = scored.join(table(spark, sf, "labels"), "doc_id")
     truth = joined.withColumn("english", (F.col("lang") == "en").cast("int"))
     return truth.select(
-        "doc_id", "source", marked_columns(["english", "quality", "toxic"], 1).alias("y_true"), "y_pred"
+        "doc_id", "source", marked_columns(["english", "quality", "toxic"], 1).alias("y_true"), "y_pred", *names
     )
 
 

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from labelmill.plans import collection, evaluation, labelling, syntax, texts, training, vectors
 
-_MODULES = ("evaluation", "labelling", "texts", "collection", "syntax", "vectors", "training")
+_MODULES = (evaluation, labelling, texts, collection, syntax, vectors, training)
 
 
 def _collect(attribute: str) -> dict:
     out: dict = {}
-    for name in _MODULES:
-        try:
-            module = import_module(f"labelmill.plans.{name}")
-        except ModuleNotFoundError as e:
-            if e.name != f"labelmill.plans.{name}":
-                raise
-            continue
+    for module in _MODULES:
         found = getattr(module, attribute)
         clash = out.keys() & found.keys()
         if clash:

@@ -8,7 +8,6 @@ from labelmill.functions import pycode as pc
 from labelmill.operators import trees as tr
 from labelmill.operators import vectors as vec
 from labelmill.operators.cleaning import clean_code as clean
-from labelmill.operators.models import materialise
 from labelmill.plans.inputs import CODE_FORMS, part_code, rounded, sql_form, sql_text
 
 
@@ -51,9 +50,8 @@ def tree_context_text(spark, sf):
 
 
 def _tree_tfidf(spark, sf, tokens):
-    """Fit and transform read the tokens; the trees are parsed once, into the checkpoint folder."""
-    rows = materialise(_trees(spark, sf).select("p_partkey", tokens(F.col("tree")).alias("tokens")))
-    return rounded(vec.tfidf(rows, "p_partkey", F.col("tokens")), "weight")
+    rows = _trees(spark, sf).select("p_partkey", tokens(F.col("tree")).alias("tokens"))
+    return rounded(vec.tfidf(rows, "p_partkey", F.col("tokens"), 7500, 2), "weight")
 
 
 def tfidf_paths(spark, sf):

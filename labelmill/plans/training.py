@@ -34,18 +34,11 @@ def trainable_labels(spark, sf):
     return md.trainable_labels(predictions(spark, sf), "y_true", EVAL_CLASSES)
 
 
-def _labelled(spark, sf, tokens) -> DataFrame:
-    truth = predictions(spark, sf).select("doc_id", "source", "y_true")
-    text = spread(table(spark, sf, "documents").select("doc_id", "text")).select(
-        "doc_id", tokens(F.col("text")).alias("tokens"))
-    return truth.join(text, "doc_id").withColumn("split", hash_split(F.col("doc_id")))
-
-
-def _bag_rows(spark, sf, tokens, max_features: int) -> DataFrame:
-    """(doc_id, source, split, y_true, features): bag of words over the training vocabulary."""
-    rows = md.materialise(_labelled(spark, sf, tokens))
-    stage = md.fit_bag(rows.where(F.col("split") == "train"), "doc_id", "tokens", "features", max_features)
-    return md.materialise(stage.transform(rows).drop("tokens"))
+def _bag_rows(spark, sf, tokens, width: int) -> DataFrame:
+    """(doc_id, source, split, y_true, features): hashed bag of words of the labelled documents, in one scan."""
+    rows = predictions(spark, sf, tokens(F.col("text")).alias("tokens")).select("doc_id", "source", "y_true", "tokens")
+    rows = rows.withColumn("split", hash_split(F.col("doc_id")))
+    return md.materialise(md.hashed_bag("tokens", "features", width).transform(rows).drop("tokens"))
 
 
 def _scores(df: DataFrame, classes, slice_col: str | None = None) -> DataFrame:
@@ -58,21 +51,21 @@ def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def bow_logreg_metrics(spark, sf):
-    train, test = _parts(_bag_rows(spark, sf, code_tokens, md.MAX_BAG_TERMS))
+    train, test = _parts(_bag_rows(spark, sf, code_tokens, md.BAG_WIDTH))
     fitted = md.fit_labels(train, "y_true", EVAL_CLASSES, md.logistic())
     return _scores(fitted.predict(test), EVAL_CLASSES)
 
 
 def ngram_forest_metrics(spark, sf):
-    train, test = _parts(_bag_rows(spark, sf, lambda t: ngram_strings(space_tokens(t)), 2000))
-    fitted = md.fit_labels(train, "y_true", EVAL_CLASSES, md.forest(md.NGRAM_TREES))
+    train, test = _parts(_bag_rows(spark, sf, lambda t: ngram_strings(space_tokens(t)), md.FOREST_WIDTH))
+    fitted = md.fit_labels(train, "y_true", EVAL_CLASSES, md.forest(md.NGRAM_TREES), max_rows=md.FIT_ROWS)
     return _scores(fitted.predict(test), EVAL_CLASSES)
 
 
 def grid_search_scores(spark, sf):
-    """Three-fold scores of two points of the logistic grid."""
-    train, _ = _parts(_bag_rows(spark, sf, code_tokens, md.MAX_BAG_TERMS))
-    grid = [g for g in md.expand_grid(md.LOGISTIC_GRID) if g["max_iter"] == 100 and g["c"] >= 1.0]
+    """Three-fold scores of the logistic grid."""
+    train, _ = _parts(_bag_rows(spark, sf, code_tokens, md.BAG_WIDTH))
+    grid = md.expand_grid(md.LOGISTIC_GRID)
     best, scores, _ = md.grid_search(train, "doc_id", "y_true", EVAL_CLASSES, md.logistic, grid)
     rows = [(g, k, float(p["c"]), p["max_iter"], round(s, 6), p == best) for g, k, p, s in scores]
     return spark.createDataFrame(rows, "point int, fold int, c double, max_iter int, f1_macro double, best boolean")
@@ -101,16 +94,16 @@ def per_label_forest_metrics(spark, sf):
     rows = _syntax_rows(spark, sf)
     train = rows.where(F.col("split") == "train")
     stages = [
-        *md.fit_tfidf_stages(train, "p_partkey", "paths", "f_paths"),
-        *md.fit_tfidf_stages(train, "p_partkey", "types", "f_types"),
-        md.fit_bag(train, "p_partkey", "shape", "f_shape"),
+        *md.fit_tfidf_stages(train, "p_partkey", "paths", "f_paths", 7500, 2),
+        *md.fit_tfidf_stages(train, "p_partkey", "types", "f_types", 7500, 2),
+        md.hashed_bag("shape", "f_shape", md.FOREST_WIDTH),
     ]
     pipeline = md.feature_pipeline(stages, ["f_paths", "f_types", "f_shape"])
     featured = md.materialise(pipeline.transform(rows).select("p_partkey", "split", "y_true", "features"))
     train, test = _parts(featured)
     classes = [*SYNTAX_CLASSES, "valid", "unused"]
-    build = md.forest(40, md.SYNTAX_DEPTH, md.SYNTAX_MIN_SPLIT, balanced=True)
-    fitted = md.fit_labels(train, "y_true", classes, build, min_positives=2)
+    build = md.forest(md.SYNTAX_TREES, md.SYNTAX_DEPTH, md.SYNTAX_MIN_SPLIT, balanced=True)
+    fitted = md.fit_labels(train, "y_true", classes, build, min_positives=2, max_rows=md.FIT_ROWS)
     return _scores(fitted.predict(test, md.SYNTAX_THRESHOLD), classes)
 
 

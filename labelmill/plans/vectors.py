@@ -24,16 +24,20 @@ def bow_counts(spark, sf):
     return vec.apply_vocabulary(counts("test"), vec.fit_vocabulary(counts("train")))
 
 
+# The vocabulary that the queries ask for.
+TFIDF_TERMS, TFIDF_MIN_DF = 7500, 2
+
+
 def tfidf_topk(spark, sf):
     docs = documents(spark, sf, "doc_id", "text")
-    return rounded(vec.tfidf(docs, "doc_id", code_tokens(F.col("text"))), "weight")
+    return rounded(vec.tfidf(docs, "doc_id", code_tokens(F.col("text")), TFIDF_TERMS, TFIDF_MIN_DF), "weight")
 
 
 def tfidf_vocabulary(spark, sf):
     """The capped vocabulary with its weights."""
     docs = documents(spark, sf, "doc_id", "text")
     counts = vec.count_terms(docs, "doc_id", code_tokens(F.col("text")))
-    return rounded(vec.fit_tfidf(counts, docs.agg(F.count("*")).scalar(), 500), "idf")
+    return rounded(vec.fit_tfidf(counts, docs.agg(F.count("*")).scalar(), 500, TFIDF_MIN_DF), "idf")
 
 
 def _blocks(spark, sf):
@@ -129,7 +133,7 @@ def embed_documents(spark, sf):
     """Default encoder fitted on the training documents and applied to all."""
     docs = documents(spark, sf, "doc_id", "text")
     train = docs.where(hash_split(F.col("doc_id")) == "train")
-    model = emb.fit_word_vectors(train, "text", width=32, maxIter=1, numPartitions=8)
+    model = emb.fit_word_vectors(train, "text")
     out = emb.embed_with_words(docs, "text", model)
     return out.select("doc_id", F.size("embedding").alias("width"), F.posexplode("embedding").alias("dim", "value"))
 

@@ -54,18 +54,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+SCAN_TASKS = "labelmill.scanTasks"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-heavy stage even tasks when its scan is small next to the session's cores.
+    """Deal a scan to as many tasks as the session's ``labelmill.scanTasks`` says; without that setting nothing is shuffled.
 
-    Spark cuts a small table into about one split per core by bytes, but a file of one row group is
-    read by a single one of them.  A table of more than two splits per core is left as it is, so
-    nothing is shuffled at scale.  For scans with projections and filters only: asking for the number
-    of splits must not run a shuffle.
+    For small tables in files of one row group, which Spark cannot split: whoever runs on such files sets it, whatever
+    the table's size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > 2 * cores:
-        return df
-    return df.repartition(cores)
+    tasks = df.sparkSession.conf.get(SCAN_TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def values(spark: SparkSession, items: Iterable[str], name: str) -> DataFrame:

@@ -31,13 +31,13 @@ def explode_solutions(df: DataFrame, json_col: str, *keep: str) -> DataFrame:
     Day keys that are no integer, days outside the calendar and days whose value is no
     object give no rows.  A null code stays a row with a null code.
     """
-    days = df.select(*keep, F.explode(F.from_json(json_col, "map<string,string>")).alias("day", "_body"))
+    days = df.select(*keep, F.explode(F.from_json(json_col, "map<string,variant>")).alias("day", "_body"))
     days = days.withColumn("day", F.expr("try_cast(day as int)")).where(
         F.col("day").between(FIRST_DAY, LAST_DAY)
     )
-    return days.select(
-        *keep, "day", F.explode(F.from_json("_body", "map<string,string>")).alias("id", "code")
-    )
+    # A value that is no object, a string that holds one included, has no such map.
+    bodies = days.select(*keep, "day", F.explode(F.expr("try_variant_get(_body, '$', 'map<string,variant>')")).alias("id", "_code"))
+    return bodies.select(*keep, "day", "id", F.expr("try_variant_get(_code, '$', 'string')").alias("code"))
 
 
 def read_nested_solutions(spark: SparkSession, path: str) -> DataFrame:

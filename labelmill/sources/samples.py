@@ -93,16 +93,16 @@ def read_samples(spark: SparkSession, path: str, style: str = "list", lines: boo
     return rows.select("Year", "Day", "DataSource", "code", labels.alias("labels"))
 
 
-def load_splits(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def load_splits(spark: SparkSession, path: str, strict: bool = True, fmt: str = "parquet", suffix: str = "") -> DataFrame:
     """All splits of a written data set, with the ``split`` partition column.
 
-    A filter on ``split`` or ``DataSource`` prunes directories.  ``strict`` raises when a split
-    is missing; otherwise missing splits are simply absent.
+    ``fmt`` is what it was written as ('parquet' or 'json'); ``suffix`` names a variant written beside it, as in
+    ``samples_ngrams``.  A filter on ``split`` or ``DataSource`` prunes directories.  ``strict`` raises when one of the
+    three splits has no row: three look-ups of one row, each in its own directory.
     """
-    df = spark.read.parquet(path)
+    df = spark.read.format(fmt).load(path.rstrip("/") + suffix)
     if strict:
-        found = {r[0] for r in df.select("split").distinct().limit(len(SPLITS) + 1).collect()}
-        missing = [s for s in SPLITS if s not in found]
+        missing = [s for s in SPLITS if df.where(F.col("split") == s).isEmpty()]
         if missing:
-            raise FileNotFoundError(f"splits missing under {path}: {missing}")
+            raise FileNotFoundError(f"splits missing under {path}{suffix}: {missing}")
     return df

@@ -7,6 +7,7 @@ what it wrote.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -73,20 +74,31 @@ def build_dataset(spark: SparkSession, matrix_csv: str, out: str, leaderboard: s
     return sm.load_splits(spark, f"{out}/samples", strict=False)
 
 
-def _scores(scored: DataFrame, classes: Sequence[str], labels: str = "Labels") -> DataFrame:
-    """Metrics overall, per source and per label cardinality."""
-    by_source = ev.metrics_long(ev.evaluation_summary(scored, classes, labels, slice_col="DataSource"))
-    cards = scored.withColumn("card", sp.cardinality(F.col(labels))).where(F.col("card").isNotNull())
-    by_card = ev.metrics_long(ev.evaluation_summary(cards, classes, labels, slice_col="card", slice_type="cardinality"))
-    return by_source.unionByName(by_card.where(F.col("slice_type") != "overall"))
-
-
-def _finish(spark: SparkSession, fitted: md.LabelModels, scored: DataFrame, classes: Sequence[str], out: str) -> DataFrame:
+def _finish(spark: SparkSession, fitted: md.LabelModels, parts: dict[str, DataFrame], classes: Sequence[str], out: str,
+            labels: str = "Labels") -> DataFrame:
+    """Save the models and, per scored part (such as 'test'), metrics, per-label scores and the report; overall, per source
+    and per label cardinality.  The models run once per part: predictions are checkpointed before they are summed."""
     fitted.save(f"{out}/models", spark)
-    sinks.save_metrics(_scores(scored, classes), f"{out}/metrics")
+    for part, scored in parts.items():
+        scored = md.materialise(scored.select("DataSource", labels, "y_pred"))
+        by_source = ev.evaluation_summary(scored, classes, labels, slice_col="DataSource")
+        cards = scored.withColumn("card", sp.cardinality(F.col(labels))).where(F.col("card").isNotNull())
+        by_card = ev.evaluation_summary(cards, classes, labels, slice_col="card", slice_type="cardinality")
+        summary = by_source.unionByName(by_card.where(F.col("slice_type") != "overall"))
+        where = out if part == "test" else f"{out}/{part}"
+        sinks.save_metrics(ev.metrics_long(summary), f"{where}/metrics")
+        sinks.save_metrics(ev.per_label(summary), f"{where}/per_label")
+        sinks.save_metrics(ev.classification_report(summary), f"{where}/report")
     return spark.read.parquet(f"{out}/metrics")
 
 
+def _save_search(spark: SparkSession, best: dict, scores: Sequence[tuple[int, int, dict, float]], out: str) -> None:
+    """(point, fold, params, score, best) of every fit of a search."""
+    rows = [(g, k, json.dumps(p, sort_keys=True), float(s), p == best) for g, k, p, s in scores]
+    spark.createDataFrame(rows, "point int, fold int, params string, score double, best boolean").coalesce(1).write.mode(
+        "overwrite").parquet(f"{out}/search")
+
+
 def _with_id(samples: DataFrame) -> DataFrame:
     """Samples with a content key, for folds and per-document counts."""
     key = F.md5(F.concat_ws("/", "DataSource", "Year", "Day", "Data").cast("binary"))
@@ -94,29 +106,31 @@ def _with_id(samples: DataFrame) -> DataFrame:
 
 
 def train_bag_model(spark: SparkSession, samples: str, out: str, kind: str = "bow", grid: Sequence[dict] | None = None,
-                    classes: Sequence[str] = LABEL_CODES, max_features: int = md.MAX_BAG_TERMS) -> DataFrame:
+                    classes: Sequence[str] = LABEL_CODES, width: int | None = None) -> DataFrame:
     """Bag of words with logistic regression (``kind='bow'``) or trigrams with forests (``'ngram'``).
 
-    Three-fold search over the grid by macro F1, refit, metrics on the test split.
+    Tokens are hashed into ``width`` places.  Three-fold search over the grid by macro F1, refit, metrics on the test split.
     """
     rows = _with_id(sm.load_splits(spark, samples).where(F.col("split") != "val"))
     tokens = code_tokens(F.col("Data")) if kind == "bow" else ngram_strings(space_tokens(F.col("Data")))
-    rows = md.materialise(rows.select("doc", "DataSource", "split", "Labels", tokens.alias("tokens")))
-    stage = md.fit_bag(rows.where(F.col("split") == "train"), "doc", "tokens", "features", max_features)
+    rows = rows.select("doc", "DataSource", "split", "Labels", tokens.alias("tokens"))
+    stage = md.hashed_bag("tokens", "features", width or (md.BAG_WIDTH if kind == "bow" else md.FOREST_WIDTH))
     featured = md.materialise(stage.transform(rows).drop("tokens"))
     train, test = (featured.where(F.col("split") == s) for s in ("train", "test"))
     make = md.logistic if kind == "bow" else md.forest
     if grid is None:
         grid = [{"c": md.BOW_C, "max_iter": md.BOW_ITERATIONS}] if kind == "bow" else [{"trees": md.NGRAM_TREES}]
-    _, _, fitted = md.grid_search(train, "doc", "Labels", classes, make, grid)
-    sinks.save_model(md.feature_pipeline([stage], ["features"], "assembled"),
-                     spark.createDataFrame([(t,) for t in stage.vocabulary], "term string"), f"{out}/features")
-    return _finish(spark, fitted, fitted.predict(test), classes, out)
+    best, scores, fitted = md.grid_search(train, "doc", "Labels", classes, make, grid)
+    _save_search(spark, best, scores, out)
+    sinks.save_model(md.feature_pipeline([stage], ["features"], "assembled"), None, f"{out}/features")
+    return _finish(spark, fitted, {"test": fitted.predict(test)}, classes, out)
 
 
 def train_syntax_model(spark: SparkSession, samples: str, out: str, trees: int = md.SYNTAX_TREES,
                        max_features: int = 15_000) -> DataFrame:
-    """Syntax-tree features with one balanced forest per label; metrics on the test split.
+    """Syntax-tree features with one balanced forest per label; metrics on the test and the validation split.
+
+    Without a validation split a fifth of train is held out for it.  Columns of hardly any variance are left out.
 
     Long label names; the vocabulary is the fixed one plus labels found in train.  Writes the data-set
     statistics of the training split next to the metrics.
@@ -135,19 +149,19 @@ def train_syntax_model(spark: SparkSession, samples: str, out: str, trees: int =
         F.coalesce(tr.structural_keys(tree), F.array().cast("array<string>")).alias("shape")))
     fit_on = tokens.where(F.col("split") == "train")
     half = max_features // 2
-    stages = [*md.fit_tfidf_stages(fit_on, "doc", "paths", "f_paths", half),
-              *md.fit_tfidf_stages(fit_on, "doc", "types", "f_types", half),
-              md.fit_bag(fit_on, "doc", "shape", "f_shape")]
-    features = md.feature_pipeline(stages, ["f_paths", "f_types", "f_shape"])
+    stages = [*md.fit_tfidf_stages(fit_on, "doc", "paths", "f_paths", half, md.SYNTAX_MIN_DF),
+              *md.fit_tfidf_stages(fit_on, "doc", "types", "f_types", half, md.SYNTAX_MIN_DF),
+              md.hashed_bag("shape", "f_shape", md.FOREST_WIDTH)]
+    joined = md.feature_pipeline(stages, ["f_paths", "f_types", "f_shape"], "joined")
+    features = md.with_variance_selection(joined, joined.transform(fit_on), "joined")
     featured = md.materialise(features.transform(tokens).select("doc", "DataSource", "split", "Labels", "features"))
-    if featured.where(F.col("split") == "val").limit(1).count() == 0:
-        fit_rows, _ = sp.fallback_val_split(featured.where(F.col("split") == "train"), "doc")
-    else:
-        fit_rows = featured.where(F.col("split") == "train")
+    part = {s: featured.where(F.col("split") == s) for s in sm.SPLITS}
+    if part["val"].isEmpty():
+        part["train"], part["val"] = sp.fallback_val_split(part["train"], "doc")
     build = md.forest(trees, md.SYNTAX_DEPTH, md.SYNTAX_MIN_SPLIT, balanced=True)
-    fitted = md.fit_labels(fit_rows, "Labels", classes, build, min_positives=2)
+    fitted = md.fit_labels(part["train"], "Labels", classes, build, min_positives=2, max_rows=md.FIT_ROWS)
     sinks.save_model(features, None, f"{out}/features")
-    scored = fitted.predict(featured.where(F.col("split") == "test"), md.SYNTAX_THRESHOLD)
+    scored = {s: fitted.predict(part[s], md.SYNTAX_THRESHOLD) for s in ("test", "val")}
     return _finish(spark, fitted, scored, classes, out)
 
 
@@ -170,6 +184,7 @@ def train_embedding_model(spark: SparkSession, samples: str, out: str, load_enco
     part = {s: featured.where(F.col("split") == s) for s in sm.SPLITS}
     if grid is None:
         grid = [{"trees": md.EMBEDDING_TREES, "depth": md.EMBEDDING_DEPTH, "min_split": md.EMBEDDING_MIN_SPLIT}]
-    _, _, fitted = md.best_on_validation(part["train"], part["val"], "Labels", classes, md.forest, grid)
+    best, score, fitted = md.best_on_validation(part["train"], part["val"], "Labels", classes, md.forest, grid)
+    _save_search(spark, best, [(0, 0, best, score)], out)
     fitted = fitted or md.LabelModels(classes)
-    return _finish(spark, fitted, fitted.predict(part["test"]), classes, out)
+    return _finish(spark, fitted, {"test": fitted.predict(part["test"])}, classes, out)

@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from labelmill.plans import registry
 from tests.harness import compare
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 UNCHECKED = sorted(set(QUERIES) - set(ORACLES))
 
 
@@ -36,7 +37,7 @@ def test_model_metrics_are_proportions(spark, sf, name):
 
 def test_grid_scores(spark, sf):
     rows = QUERIES["grid_search_scores"](spark, sf).collect()
-    assert len(rows) == 6 and {r["fold"] for r in rows} == {0, 1, 2}
+    assert len(rows) == 18 and {r["fold"] for r in rows} == {0, 1, 2}
     assert all(0.0 <= r["f1_macro"] <= 1.0 for r in rows)
     assert len({r["point"] for r in rows if r["best"]}) == 1
 
@@ -47,7 +48,7 @@ def test_document_embeddings_are_unit_vectors(spark, sf):
     df = QUERIES["embed_documents"](spark, sf)
     norms = df.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("n"), F.count("*").alias("w"))
     for r in norms.collect():
-        assert r["w"] == 32 and (abs(r["n"] - 1.0) < 1e-6 or r["n"] == 0.0)
+        assert r["w"] == 128 and (abs(r["n"] - 1.0) < 1e-6 or r["n"] == 0.0)
 
 
 def test_projection_has_one_row_per_vector(spark, sf, duck):

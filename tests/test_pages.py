@@ -30,6 +30,15 @@ def test_blocks_include_nested_blocks():
     ]
 
 
+def test_links_of_table_cells(spark):
+    page = ('<nav><a href="/nav">n</a></nav><table><tr><td><a rel="x" href="/d1">1</a></td><td>'
+            "<a href='/d2'>2</a></td><th><a href=\"/no\">h</a></th><td><b><a href=/d3?a=1&amp;b=2>3</a></b></td></tr></table>")
+    df = spark.createDataFrame([(7, page), (8, None), (9, "<td><a>x</a>")], "k int, html string")
+    got = [tuple(r) for r in pg.extract_links(df, "html", "k").orderBy("k", "day").collect()]
+    assert got == [(7, 1, "/d1"), (7, 2, "/d2"), (7, 3, "/d3?a=1&b=2")]
+    assert pg.extract_links(df, "html", "k", within=None).where("k = 7").count() == 5
+
+
 def test_own_blocks_only():
     got = page_blocks(PAGE, BlockSpec(own_only=True))
     assert got[0] == (None, "", None)

@@ -37,7 +37,8 @@ COMMENT_CASES = [
     ('x = [\n"a",\n    "b"]\n', 'x = [\n,\n    "b"]\n'),
     ('class A:\n    def f():\n        pass\n    "kept"\n', 'class A:\n    def f():\n        pass\n    "kept"\n'),
     ('f"{{a}} {x}"\n', 'f"{{a}} {x}"\n'),
-    ("x = 1 + \\\n  2\n", "x = 1 +  2\n"),
+    ("x = 1 + \\\n  2\n", "x = 1 + \\\n  2\n"),
+    ('x = 1\n"""two\nlines"""\ny = f"# {x}"  # c\n', 'x = 1\n\ny = f"# {x}"  \n'),
     ("x = 'open\n", None),
     ("if x:\n    a\n  b\n", None),
     ("x = (1,\n", None),

@@ -92,6 +92,16 @@ def test_supcon_loss(spark):
     assert emb.mean_batch_loss(emb.supcon_loss(df.where("id < 0"), "id", "v", "l")).head()["loss"] == 0.0
 
 
+def test_supcon_batches_are_by_place_not_by_id(spark):
+    rows = [(i, [float(np.cos(i)), float(np.sin(i))], [str(i % 3)]) for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, v array<float>, l array<string>").repartition(4)
+    sparse = df.withColumn("id", F.col("id") * 1_000_003)
+    want = [tuple(r) for r in emb.supcon_loss(df, "id", "v", "l").orderBy("batch").collect()]
+    assert [tuple(r) for r in emb.supcon_loss(sparse, "id", "v", "l").orderBy("batch").collect()] == want
+    same = emb.supcon_loss(df.withColumn("id", F.lit(5).cast("long")), "id", "v", "l").orderBy("batch").collect()
+    assert [r["n"] for r in same] == [32, 32, 6]
+
+
 def test_embed_reads_whole_texts_in_order(spark):
     def load():
         def encode(texts):

@@ -68,6 +68,10 @@ def test_bag_model(spark, dataset, tmp_path):
     assert values(metrics)["all", "f1_micro"] > 0.8
     assert {s for s, _ in values(metrics, "source")} == {"leaderboard", "reddit", "github"}
     assert {s for s, _ in values(metrics, "cardinality")} <= {"single", "multi"}
+    search = spark.read.parquet(f"{tmp_path}/search").collect()
+    assert len(search) == 3 and all(r["best"] and json.loads(r["params"]) == {"c": 10.0, "max_iter": 30} for r in search)
+    assert "Math" in {r["label"] for r in spark.read.parquet(f"{tmp_path}/per_label").where("slice = 'all'").collect()}
+    assert spark.read.parquet(f"{tmp_path}/report").count() > 0
     loaded = LabelModels.load(f"{tmp_path}/models", spark)
     assert loaded.classes == LABEL_CODES and set(loaded.models) == {"Math", "Grid", "Str"}
 
@@ -81,6 +85,7 @@ def test_ngram_model(spark, dataset, tmp_path):
 def test_syntax_model(spark, dataset, tmp_path):
     metrics = wf.train_syntax_model(spark, f"{dataset[0]}/samples", str(tmp_path), trees=5)
     assert values(metrics)["all", "f1_micro"] > 0.6
+    assert values(spark.read.parquet(f"{tmp_path}/val/metrics"))["all", "f1_micro"] > 0.5
     found = {r["label"] for r in spark.read.parquet(f"{tmp_path}/label_distribution").collect()}
     assert found == {"mathematical", "grid_traversal", "string_manipulation"}
 
