@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from labelmill.session import ensure_checkpoint_dir
@@ -27,6 +27,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def checkpoint_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """``checkpoint`` and how many rows fulfil ``condition``, counted while they are written: no second job."""
+    seen = Observation()
+    out = checkpoint(df.observe(seen, F.count_if(condition).alias("n")))
+    return out, seen.get.get("n") or 0
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared checkpoint folder: smaller than a checkpoint where they are read again
     and again.  Whoever owns the folder clears it."""
@@ -55,29 +62,31 @@ def connected_components(edges: DataFrame) -> DataFrame:
     are ignored; an empty input gives an empty result.
     """
     a, b = F.col("a"), F.col("b")
-    links = checkpoint(edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    links, left = checkpoint_counting(
+        edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), a.isNotNull())
     found = None
-    while found is None or not links.isEmpty():
+    while found is None or left:
         both = links.select(a.alias("id"), b.alias("to")).union(links.select(b.alias("id"), a.alias("to")))
         hooks = checkpoint(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("to")))
-        moving = True
+        moving = left
         while moving:
             onward = hooks.select(F.col("id").alias("to"), F.col("to").alias("_next"))
-            step = checkpoint(hooks.join(onward, "to").select("id", F.col("_next").alias("to"),
-                                                             (F.col("to") != F.col("_next")).alias("_moved")))
-            moving = not step.where("_moved").isEmpty()
-            hooks = step.drop("_moved")
+            hooks, moving = checkpoint_counting(
+                hooks.join(onward, "to").select("id", F.col("_next").alias("to"), (F.col("to") != F.col("_next")).alias("_moved")),
+                F.col("_moved"))
+            hooks = hooks.drop("_moved")
         if found is None:
             found = hooks.withColumnRenamed("to", "component")
         else:
             root = hooks.select(F.col("id").alias("component"), "to")
             found = checkpoint(found.join(root, "component", "left").select(
                 "id", F.coalesce("to", "component").alias("component")))
-        ends = links
-        for end in ("a", "b"):
-            ends = ends.join(hooks.select(F.col("id").alias(end), F.col("to").alias(f"_{end}")), end)
-        links = checkpoint(ends.where("_a != _b").select(
-            F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        if left:
+            ends = links
+            for end in ("a", "b"):
+                ends = ends.join(hooks.select(F.col("id").alias(end), F.col("to").alias(f"_{end}")), end)
+            links, left = checkpoint_counting(ends.where("_a != _b").select(
+                F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), a.isNotNull())
     return found
 
 

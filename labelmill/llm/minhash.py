@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import checkpoint, connected_components, spanning_forest
+from labelmill.llm.common import checkpoint, checkpoint_counting, connected_components, spanning_forest
 
 BANDS, ROWS = 32, 5            # a pair of similarity 0.8 shares no band with probability 0.672^32 = 3e-6
 WIDTH, PERCENT = 5, 80         # words per shingle, least similarity in percent
@@ -146,8 +146,9 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray], columns: int = 8192
     return out.astype(np.int64)
 
 
-def _compare_clumps(clumps: DataFrame, sets: DataFrame, comp: DataFrame, percent: int, rows: int = 512) -> DataFrame:
-    """Links (a, b) between documents of one clump and different components, thinned to a forest per block."""
+def _compare_clumps(clumps: DataFrame, sets: DataFrame, comp: DataFrame, percent: int,
+                    rows: int = 512) -> tuple[DataFrame, int]:
+    """Links (a, b) between documents of one clump and different components, thinned to a forest per block; their number."""
     sizes = clumps.groupBy("component").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks")).withColumnRenamed(
         "component", "clump")
     member = clumps.withColumnRenamed("component", "clump").join(sizes, "clump")
@@ -173,7 +174,8 @@ def _compare_clumps(clumps: DataFrame, sets: DataFrame, comp: DataFrame, percent
         found = spanning_forest(a["comp"].to_numpy()[i], b["comp"].to_numpy()[j])
         return pd.DataFrame(found, columns=["a", "b"]) if found else empty
 
-    return checkpoint(member.groupBy("clump", "low", "high").applyInPandas(compare, "a long, b long"))
+    return checkpoint_counting(member.groupBy("clump", "low", "high").applyInPandas(compare, "a long, b long"),
+                               F.col("a").isNotNull())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
@@ -233,8 +235,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     open_rows = checkpoint(open_rows.select("band", "hash", "id", "comp"))
     first = open_rows.groupBy("band", "hash").agg(F.min("id").alias("a"))
     clumps = connected_components(open_rows.join(first, ["band", "hash"]).select("a", F.col("id").alias("b")).distinct())
-    more = _compare_clumps(clumps, sets, comp, percent)
-    final = connected_components(more) if not more.isEmpty() else None
+    more, found = _compare_clumps(clumps, sets, comp, percent)
+    final = connected_components(more) if found else None
 
     comp = near if final is None else near.join(
         final.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left"
