@@ -11,6 +11,8 @@ centre and links most of them.  What that leaves, members outside the centre's c
 inequality of the Jaccard distance does not rule out as their partners, forms clumps: what shares a bucket, over
 all bands.  A clump is compared in blocks of about 512 x 512 documents, whose intersection sizes are one product of
 0/1 matrices; a block returns a spanning forest of its links.
+
+Tables that grow with the documents are joined by sorting: whatever their size, no copy of them passes the driver.
 """
 
 from __future__ import annotations
@@ -195,20 +197,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     # Equal sets are one class, named after its smallest document, which alone goes on.
     classes = checkpoint(real.groupBy("digest").agg(F.min("id").alias("rep")))
-    member = real.join(classes, "digest").select("id", "rep", "n", "bands")
+    member = real.join(classes.hint("merge"), "digest").select("id", "rep", "n", "bands")
     banded = member.where("id = rep").select("id", "n", F.posexplode("bands").alias("band", "hash")).distinct()
 
     # Every member of a bucket against its centre.
     bucket = banded.groupBy("band", "hash").agg(F.count("*").alias("m")).where("m > 1")
-    shared = checkpoint(banded.join(bucket, ["band", "hash"]))
-    ranked = shared.join(shared.groupBy("id").agg(F.sum("m").alias("company")), "id")
+    shared = checkpoint(banded.join(bucket.hint("merge"), ["band", "hash"]))
+    ranked = shared.join(shared.groupBy("id").agg(F.sum("m").alias("company")).hint("merge"), "id")
     top = ranked.groupBy("band", "hash").agg(F.max("company").alias("company"))
     # The smallest of those with most company; two aggregates of numbers, which combine before the shuffle.
-    centres = ranked.join(top, ["band", "hash", "company"]).groupBy("band", "hash").agg(F.min("id").alias("centre"))
-    placed = checkpoint(shared.join(centres, ["band", "hash"]))
+    centres = ranked.join(top.hint("merge"), ["band", "hash", "company"]).groupBy("band", "hash").agg(F.min("id").alias("centre"))
+    placed = checkpoint(shared.join(centres.hint("merge"), ["band", "hash"]))
     starred = placed.where("id != centre").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
     wanted = placed.select("id").distinct()
-    sets = checkpoint(source.join(wanted, "id", "left_semi").select(
+    sets = checkpoint(source.join(wanted.hint("merge"), "id", "left_semi").select(
         "id", _shingles(F.col("text"), width).alias("shingles")).distinct())
     union = F.col("na") + F.col("nb") - F.col("inter")
     linked = 100 * F.col("inter") >= percent * union
@@ -249,12 +251,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 def _result(seen: DataFrame, classes: DataFrame, comp: DataFrame, key: str) -> DataFrame:
     """A document's component is its class's."""
-    own = seen.where("digest is not null and id is not null").join(classes, "digest").select("id", "rep")
-    own = own.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
+    own = seen.where("digest is not null and id is not null").join(classes.hint("merge"), "digest").select("id", "rep")
+    own = own.join(comp.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left").select(
         "id", F.coalesce("component", "rep").alias("component"))
     own = own.groupBy("id").agg(F.min("component").alias("component"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    rows = seen.select("id", "n").join(own, "id", "left").withColumn("_c", component)
+    rows = seen.select("id", "n").join(own.hint("merge"), "id", "left").withColumn("_c", component)
     return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("_c").alias("component_id"),
                        F.col("id").eqNullSafe(F.col("_c")).alias("kept"))
 
