@@ -265,3 +265,24 @@ def keep_one(docs: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: all columns, rows with a null key stay."""
     out = near_duplicates(docs, key, **settings).where("not kept").select(key).distinct()
     return docs.join(out, key, "left_anti")
+
+
+ORACLE = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+shingle AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+link AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingle x JOIN shingle y USING (s)
+    WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * common >= 80 * (p.n + q.n - common)),
+reach(id, c) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT b, c FROM reach JOIN link ON id = a WHERE b > c),
+least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN least ON id = doc_id LEFT JOIN size USING (doc_id)"""

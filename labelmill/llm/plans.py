@@ -61,4 +61,9 @@ QUERIES = {
         op7_mix_sources, op8_pii, op9_minhash_near_dup, op10_url_filter, pipeline,
     )
 }
-ORACLES = {"op10_url_filter": urls.ORACLE}
+ORACLES = {
+    "op3_decontaminate": decontaminate.ORACLE,
+    "op5_vector_near_dup": vectors.ORACLE,
+    "op9_minhash_near_dup": minhash.ORACLE,
+    "op10_url_filter": urls.ORACLE,
+}

@@ -220,3 +220,18 @@ def _one_key(good: DataFrame, classes: DataFrame) -> DataFrame:
     own = good.select("id", "label", "digest").distinct().join(classes, ["label", "digest"])
     many = own.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("_z")).where("a != _z").select("id", "a")
     return own.join(many, "id").select("a", F.col("rep").alias("b"))
+
+
+ORACLE = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND list_count(embedding) = len(embedding) AND isfinite(list_sum(embedding::DOUBLE[]))
+    AND (list_max(embedding) > 0 OR list_min(embedding) < 0)),
+link AS MATERIALIZED (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND len(p.e) = len(q.e) AND p.vec_id <> q.vec_id
+  WHERE list_cosine_similarity(p.e, q.e) >= 0.93),
+reach(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT b, c FROM reach JOIN link ON id = a WHERE b > c),
+least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id),
+number AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON id = vec_id LEFT JOIN number ON a = vec_id"""

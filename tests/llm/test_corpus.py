@@ -463,6 +463,12 @@ def test_pipeline_odd_rows(spark, sf):
         assert empty.count() == 0
 
 
+@pytest.mark.parametrize("name", ["op3_decontaminate", "op5_vector_near_dup", "op9_minhash_near_dup"])
+def test_sql_gives_the_same_rows(spark, sf, duck, name):
+    ok, note = compare(QUERIES[name](spark, sf), duck, ORACLES[name])
+    assert ok, note
+
+
 def test_folds_are_crc32(spark):
     from labelmill.llm.common import held_out
 
