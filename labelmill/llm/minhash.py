@@ -12,7 +12,8 @@ inequality of the Jaccard distance does not rule out as their partners, forms cl
 all bands.  A clump is compared in blocks of about 512 x 512 documents, whose intersection sizes are one product of
 0/1 matrices; a block returns a spanning forest of its links.
 
-Tables that grow with the documents are joined by sorting: whatever their size, no copy of them passes the driver.
+Classes, buckets, centres and results are joined by sorting, so no copy of them passes the driver; links and components are
+left to Spark, which broadcasts a side below its threshold only.
 """
 
 from __future__ import annotations
