@@ -36,10 +36,21 @@ def checkpoint_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, in
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared checkpoint folder: smaller than a checkpoint where they are read again
-    and again.  Whoever owns the folder clears it."""
+    and again.  Whoever owns the folder clears it.
+
+    Its size estimate is that of its files.  A checkpoint keeps the estimate of the plan that made it, which a join
+    multiplies: a table that is joined with itself round after round would get an estimate of millions of digits.
+    """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """``stored`` and how many rows fulfil ``condition``, counted while they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count_if(condition).alias("n")))
+    return out, seen.get.get("n") or 0
 
 
 def held_out(key: Column, folds: int) -> Column:
@@ -62,16 +73,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     are ignored; an empty input gives an empty result.
     """
     a, b = F.col("a"), F.col("b")
-    links, left = checkpoint_counting(
+    links, left = stored_counting(
         edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), a.isNotNull())
     found = None
     while found is None or left:
         both = links.select(a.alias("id"), b.alias("to")).union(links.select(b.alias("id"), a.alias("to")))
-        hooks = checkpoint(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("to")))
+        hooks = stored(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("to")))
         moving = left
         while moving:
             onward = hooks.select(F.col("id").alias("to"), F.col("to").alias("_next"))
-            hooks, moving = checkpoint_counting(
+            hooks, moving = stored_counting(
                 hooks.join(onward, "to").select("id", F.col("_next").alias("to"), (F.col("to") != F.col("_next")).alias("_moved")),
                 F.col("_moved"))
             hooks = hooks.drop("_moved")
@@ -79,13 +90,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
             found = hooks.withColumnRenamed("to", "component")
         else:
             root = hooks.select(F.col("id").alias("component"), "to")
-            found = checkpoint(found.join(root, "component", "left").select(
+            found = stored(found.join(root, "component", "left").select(
                 "id", F.coalesce("to", "component").alias("component")))
         if left:
             ends = links
             for end in ("a", "b"):
                 ends = ends.join(hooks.select(F.col("id").alias(end), F.col("to").alias(f"_{end}")), end)
-            links, left = checkpoint_counting(ends.where("_a != _b").select(
+            links, left = stored_counting(ends.where("_a != _b").select(
                 F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), a.isNotNull())
     return found
 
