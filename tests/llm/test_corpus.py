@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from labelmill.llm import decontaminate, langid, licenses, minhash, mixing, mixlm, pii, toxicity, urls, vectors
+from labelmill.llm.common import connected_components
 from tests.harness import DATA, compare
 from tests.llm import brute
 
@@ -390,6 +391,13 @@ def test_near_duplicates_odd_rows(spark):
     assert [tuple(r) for r in twice] == [(1, False)] * 2
 
 
+def test_component_rounds_do_not_multiply_size_estimates(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    found = connected_components(chain)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40
+    assert rows_of(found, "id", "component") == sorted(((i, 0) for i in range(201)), key=lambda r: ((False, str(r[0])), (False, "0")))
+
+
 def test_circulant_signature_estimates_similarity():
     cache = minhash._WordHash()
     a = minhash.shingle_set(" ".join(f"w{i}" for i in range(1000)), 4, cache)
