@@ -30,33 +30,33 @@ LIC = "licen[cs]e"
 V = "(?:version )?v? ?"
 NAMES: tuple[tuple[str, str, str], ...] = (
     ("mit", rf"(?:mit|expat)(?: x11)?(?: {LIC})?", " mit | expat "),
-    ("mit-0", rf"mit (?:0|no attribution)(?: {LIC})?", " mit "),
-    ("x11", rf"x11 {LIC}", " x11 "),
+    ("mit-0", rf"mit (?:0|no attribution)(?: {LIC})?", " mit 0 | mit no attribution "),
+    ("x11", rf"x11 {LIC}", " x11 licen"),
     ("apache-2", rf"apache(?: software)?(?: {LIC})?(?: {V}2(?: 0)?)", "apache"),
     ("apache-1.1", rf"apache(?: software)?(?: {LIC})? {V}1 1", "apache"),
-    ("gpl-1", rf"(?:gnu )?(?:general public {LIC}|gpl)(?: {V}1(?: 0)?)", "general public|gpl"),
-    ("gpl-2", rf"(?:gnu )?(?:general public {LIC}|gpl)(?: {V}2(?: 0)?)", "general public|gpl"),
-    ("gpl-3", rf"(?:gnu )?(?:general public {LIC}|gpl)(?: {V}3(?: 0)?)", "general public|gpl"),
-    ("gpl", rf"(?:gnu general public {LIC}|gnu gpl|gpl)", "general public|gpl"),
-    ("lgpl-2.1", rf"(?:gnu )?(?:(?:lesser|library) general public {LIC}|lgpl)(?: {V}2(?: [01])?)", "general public|gpl"),
-    ("lgpl-3", rf"(?:gnu )?(?:lesser general public {LIC}|lgpl)(?: {V}3(?: 0)?)", "general public|gpl"),
-    ("lgpl", rf"(?:gnu )?(?:lesser general public {LIC}|lgpl)", "general public|gpl"),
-    ("agpl-3", rf"(?:gnu )?(?:affero general public {LIC}|agpl)(?: {V}3(?: 0)?)", "affero|agpl"),
-    ("agpl", rf"(?:gnu )?(?:affero general public {LIC}|agpl)", "affero|agpl"),
+    ("gpl-1", rf"(?:gnu )?(?:general public {LIC}|gpl)(?: {V}1(?: 0)?)", "general public licen|gpl"),
+    ("gpl-2", rf"(?:gnu )?(?:general public {LIC}|gpl)(?: {V}2(?: 0)?)", "general public licen|gpl"),
+    ("gpl-3", rf"(?:gnu )?(?:general public {LIC}|gpl)(?: {V}3(?: 0)?)", "general public licen|gpl"),
+    ("gpl", rf"(?:gnu general public {LIC}|gnu gpl|gpl)", "general public licen|gpl"),
+    ("lgpl-2.1", rf"(?:gnu )?(?:(?:lesser|library) general public {LIC}|lgpl)(?: {V}2(?: [01])?)", "general public licen|gpl"),
+    ("lgpl-3", rf"(?:gnu )?(?:lesser general public {LIC}|lgpl)(?: {V}3(?: 0)?)", "general public licen|gpl"),
+    ("lgpl", rf"(?:gnu )?(?:lesser general public {LIC}|lgpl)", "general public licen|gpl"),
+    ("agpl-3", rf"(?:gnu )?(?:affero general public {LIC}|agpl)(?: {V}3(?: 0)?)", "affero general public|agpl"),
+    ("agpl", rf"(?:gnu )?(?:affero general public {LIC}|agpl)", "affero general public|agpl"),
     ("gfdl-1.3", rf"(?:gnu )?(?:free documentation {LIC}|gfdl)(?: {V}1 3)", "free documentation|gfdl"),
     ("gfdl", rf"(?:gnu )?(?:free documentation {LIC}|gfdl)", "free documentation|gfdl"),
-    ("mpl-1.1", rf"(?:mozilla public {LIC}|mpl)(?: {V}1 1)", "mozilla| mpl "),
-    ("mpl-2", rf"(?:mozilla public {LIC}|mpl)(?: {V}2(?: 0)?)", "mozilla| mpl "),
-    ("epl-1", rf"(?:eclipse public {LIC}|epl)(?: {V}1(?: 0)?)", "eclipse| epl "),
-    ("epl-2", rf"(?:eclipse public {LIC}|epl)(?: {V}2(?: 0)?)", "eclipse| epl "),
+    ("mpl-1.1", rf"(?:mozilla public {LIC}|mpl)(?: {V}1 1)", "mozilla public licen| mpl "),
+    ("mpl-2", rf"(?:mozilla public {LIC}|mpl)(?: {V}2(?: 0)?)", "mozilla public licen| mpl "),
+    ("epl-1", rf"(?:eclipse public {LIC}|epl)(?: {V}1(?: 0)?)", "eclipse public licen| epl "),
+    ("epl-2", rf"(?:eclipse public {LIC}|epl)(?: {V}2(?: 0)?)", "eclipse public licen| epl "),
     ("bsd-2", rf"(?:(?:2|two) clause bsd|bsd (?:2|two) clause|simplified bsd|freebsd)(?: {LIC})?", "bsd"),
     ("bsd-3", rf"(?:(?:3|three) clause bsd|bsd (?:3|three) clause|(?:new|modified|revised) bsd)(?: {LIC})?", "bsd"),
     ("bsd-4", rf"(?:(?:4|four) clause bsd|bsd (?:4|four) clause|original bsd)(?: {LIC})?", "bsd"),
     ("bsd-0", rf"(?:zero clause bsd|0bsd|bsd zero clause)(?: {LIC})?", "bsd"),
-    ("bsd", rf"(?:bsd|berkeley software distribution) {LIC}", " bsd |berkeley"),
-    ("isc", rf"isc {LIC}", "isc"),
+    ("bsd", rf"(?:bsd|berkeley software distribution) {LIC}", " bsd licen|berkeley software distribution"),
+    ("isc", rf"isc {LIC}", " isc licen"),
     ("zlib", rf"zlib(?: libpng)? {LIC}", "zlib"),
-    ("boost-1", rf"boost software {LIC}(?: {V}1(?: 0)?)?", "boost"),
+    ("boost-1", rf"boost software {LIC}(?: {V}1(?: 0)?)?", "boost software licen"),
     ("unlicense", "(?:the unlicense|unlicense)", "unlicense"),
     ("wtfpl", "(?:wtfpl|do what the fuck you want to public license)", "wtfpl|do what the fuck"),
     ("cc0", "(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", "cc0|cc zero|creative commons zero"),
@@ -66,24 +66,24 @@ NAMES: tuple[tuple[str, str, str], ...] = (
     ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?(?: international)?", " cc by|creative commons"),
     ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", " cc by|creative commons"),
     ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] [05])?", " cc by|creative commons"),
-    ("artistic-1", rf"artistic {LIC}(?: {V}1(?: 0)?)", "artistic"),
-    ("artistic-2", rf"artistic {LIC}(?: {V}2(?: 0)?)", "artistic"),
-    ("eupl-1.2", rf"(?:european union public {LIC}|eupl)(?: {V}1 2)?", "european union|eupl"),
-    ("ofl-1.1", rf"(?:sil )?open font {LIC}(?: {V}1 1)?", "open font"),
-    ("postgresql", rf"postgresql {LIC}", "postgresql"),
-    ("python-2", rf"(?:python software foundation {LIC}|psf {LIC})(?: {V}2(?: 0)?)?", "python software| psf "),
-    ("openssl", rf"openssl {LIC}", "openssl"),
+    ("artistic-1", rf"artistic {LIC}(?: {V}1(?: 0)?)", "artistic licen"),
+    ("artistic-2", rf"artistic {LIC}(?: {V}2(?: 0)?)", "artistic licen"),
+    ("eupl-1.2", rf"(?:european union public {LIC}|eupl)(?: {V}1 2)?", "european union public|eupl"),
+    ("ofl-1.1", rf"(?:sil )?open font {LIC}(?: {V}1 1)?", "open font licen"),
+    ("postgresql", rf"postgresql {LIC}", "postgresql licen"),
+    ("python-2", rf"(?:python software foundation {LIC}|psf {LIC})(?: {V}2(?: 0)?)?", "python software foundation licen| psf licen"),
+    ("openssl", rf"openssl {LIC}", "openssl licen"),
     ("ncsa", rf"(?:university of illinois )?ncsa(?: open source)? {LIC}", "ncsa"),
-    ("vim", rf"vim {LIC}", "vim"),
-    ("ms-pl", rf"(?:microsoft public {LIC}|ms pl)", "microsoft| ms pl"),
-    ("ms-rl", rf"(?:microsoft reciprocal {LIC}|ms rl)", "microsoft| ms rl"),
-    ("cddl-1", rf"(?:common development and distribution {LIC}|cddl)(?: {V}1 [01])?", "common development|cddl"),
-    ("osl-3", rf"open software {LIC}(?: {V}3(?: 0)?)?", "open software"),
-    ("afl-3", rf"academic free {LIC}(?: {V}3(?: 0)?)?", "academic free"),
-    ("ecl-2", rf"educational community {LIC}(?: {V}2(?: 0)?)?", "educational community"),
+    ("vim", rf"vim {LIC}", " vim licen"),
+    ("ms-pl", rf"(?:microsoft public {LIC}|ms pl)", "microsoft public licen| ms pl "),
+    ("ms-rl", rf"(?:microsoft reciprocal {LIC}|ms rl)", "microsoft reciprocal licen| ms rl "),
+    ("cddl-1", rf"(?:common development and distribution {LIC}|cddl)(?: {V}1 [01])?", "common development and distribution|cddl"),
+    ("osl-3", rf"open software {LIC}(?: {V}3(?: 0)?)?", "open software licen"),
+    ("afl-3", rf"academic free {LIC}(?: {V}3(?: 0)?)?", "academic free licen"),
+    ("ecl-2", rf"educational community {LIC}(?: {V}2(?: 0)?)?", "educational community licen"),
     ("odbl-1", rf"open (?:data commons open )?database {LIC}(?: {V}1 0)?", "database licen"),
     ("sspl-1", rf"(?:server side public {LIC}|sspl)(?: {V}1)?", "server side public|sspl"),
-    ("busl-1.1", rf"business source {LIC}(?: {V}1 1)?", "business source"),
+    ("busl-1.1", rf"business source {LIC}(?: {V}1 1)?", "business source licen"),
 )
 # Sentences around a name: level, keyword and expression, {} being the name.
 NOTICE = "(?:licensed|released|distributed|published|available|provided|covered|made available|redistribute it)"
@@ -93,26 +93,24 @@ TEMPLATES = (
     (1, "subject to", "subject to (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}(?: " + LIC + ")?"),
     (2, " licen", "(?:the )?{} " + LIC),
 )
-# Rules without a template: label, level, expression, keyword.
+# Rules without a template: label, level, expression, keywords of which each match contains one.
 SINGLE = (
-    ("mit", 1, "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission"),
-    ("bsd", 1, "redistribution and use in source and binary forms with or without modification are permitted", "redistribution"),
-    ("isc", 1, "permission to use copy modify and or distribute this software for any purpose with or without fee", "permission"),
-    ("apache-2", 1, "you may not use this file except in compliance with the license", "compliance"),
-    ("zlib", 1, "this software is provided as is without any express or implied warranty", "warranty"),
+    ("mit", 1, "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
+    ("bsd", 1, "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use"),
+    ("isc", 1, "permission to use copy modify and or distribute this software for any purpose with or without fee", "permission to use copy"),
+    ("apache-2", 1, "you may not use this file except in compliance with the license", "in compliance with the license"),
+    ("zlib", 1, "this software is provided as is without any express or implied warranty", "express or implied warranty"),
     ("proprietary", 2, "all rights reserved", "rights reserved"),
-    ("proprietary", 1, "(?:unauthori[sz]ed copying|may not be (?:reproduced|copied|redistributed))", "copy"),
-    ("proprietary", 1, "(?:proprietary and confidential|confidential and proprietary)", "proprietary"),
+    ("proprietary", 1, "(?:unauthori[sz]ed copying|may not be (?:reproduced|copied|redistributed))",
+     "unauthorized copying|unauthorised copying|may not be reproduced|may not be copied|may not be redistributed"),
+    ("proprietary", 1, "(?:proprietary and confidential|confidential and proprietary)",
+     "proprietary and confidential|confidential and proprietary"),
     ("public-domain", 2, "(?:released into|dedicated to|in|placed in) the public domain", "public domain"),
     ("lizenz", 3, "unter der [a-z0-9]+(?: [0-9]+)* lizenz", "lizenz"),
-    ("licence", 3, "sous licence [a-z0-9]+", "licence"),
+    ("licence", 3, "sous licence [a-z0-9]+", "sous licence"),
     ("licencia", 3, "bajo (?:la )?licencia [a-z0-9]+", "licencia"),
-    ("other", 3, "(?:licensed|released) under (?:the )?[a-z0-9]+", "under"),
+    ("other", 3, "(?:licensed|released) under (?:the )?[a-z0-9]+", "licensed under|released under"),
 )
-STEMS = ("licen", "lizenz", "copyright", "rights reserved", "public domain", " cc ", "cc0", "creative commons", "gpl", "spdx",
-         " under mit ", " under the mit ", " under expat ", " under the expat ", "apache", "wtfpl", "eupl", " mpl ", " epl ",
-         " bsd ", "freebsd", "0bsd", "sspl", "cddl", "gfdl", "subject to", " ms pl", " ms rl", "permission is hereby",
-         "redistribution and use", "express or implied", "proprietary", "may not be", "copying")
 
 
 def rules() -> list[tuple[int, str, int, list[str], str, str]]:
@@ -124,10 +122,25 @@ def rules() -> list[tuple[int, str, int, list[str], str, str]]:
             out.append((label, level, word.split("|"), sign, sentence.format(f"(?:{name})")))
         if label != "mit":  # three letters alone say nothing
             out.append((label, 3, word.split("|"), "", name))
-    out += [(label, level, [word], "", sentence) for label, level, sentence, word in SINGLE]
+    out += [(label, level, word.split("|"), "", sentence) for label, level, sentence, word in SINGLE]
     return [(i, *rule) for i, rule in enumerate(out)]
 
 
+def stems() -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
+    """Pairs of word lists: a rule can only match where, for some pair, a word of each list occurs (an empty list asks
+    nothing).  They are the rules' own keywords; a rule that asks for a sign as well is left out where its keywords
+    alone suffice for another one."""
+    alone = {w for _, _, _, words, sign, _ in rules() if not sign for w in words}
+    signed: dict[str, list[str]] = {}
+    for _, _, _, words, sign, _ in rules():
+        for w in words:
+            if sign and w not in alone and sign not in signed.setdefault(w, []):
+                signed[w].append(sign)
+    # A word that contains another one adds nothing.
+    short = sorted(w for w in alone if not any(o != w and o in w for o in alone))
+    return [(tuple(short), ()), *(((w,), tuple(signs)) for w, signs in signed.items())]
+
+
 def _spaces(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
@@ -219,7 +232,8 @@ def scan_licenses(docs: DataFrame, output: str, text: str = "text") -> DataFrame
         for i, label, level, words, sign, pattern in rules()])
 
     def judged(norm: Column) -> Column:
-        gate = reduce(lambda a, b: a | b, [F.contains(norm, F.lit(s)) for s in STEMS])
+        some = lambda words: reduce(lambda a, b: a | b, [F.contains(norm, F.lit(w)) for w in words])
+        gate = reduce(lambda a, b: a | b, [some(x) & some(y) if y else some(x) for x, y in stems()])
         tried = F.filter(listed, lambda r: F.contains(norm, r["sign"]) & F.exists(r["words"], lambda w: F.contains(norm, w)))
         own = F.when(gate, _survivors(F.flatten(F.transform(tried, lambda r: _places(norm, r)))))
 

@@ -1,10 +1,14 @@
 """The operators do their whole job: cases in which a smaller one shows."""
 
+import itertools
+import re
+from re import _parser as sre
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelmill.llm import mixlm
+from labelmill.llm import licenses, mixlm
 from tests.llm import brute
 
 
@@ -64,3 +68,68 @@ def test_lm_counts_of_the_text_so_far():
 def test_lm_word_too_long_for_a_number(spark):
     docs = spark.createDataFrame([(i, "x" + "漢字kq7" * 2000 * (i % 2)) for i in range(20)], "doc_id long, text string")
     assert mixlm.score_documents(docs, lang=None).where(~(F.col("score") > -1e9)).count() == 0
+
+
+# ---- 6 ----
+
+def ways(pattern):
+    """Texts that the expression matches whole: every alternative, every option present and absent."""
+    def of(items):
+        return ["".join(x) for x in itertools.product(*[one(*item) for item in items])]
+
+    def one(op, arg):
+        if op is sre.LITERAL:
+            return [chr(arg)]
+        if op is sre.IN:
+            return [chr(a) if o is sre.LITERAL else chr(a[0]) for o, a in arg]
+        if op is sre.BRANCH:
+            return [x for way in arg[1] for x in of(way)]
+        if op is sre.SUBPATTERN:
+            return of(arg[3])
+        assert op is sre.MAX_REPEAT, op
+        return ([""] if arg[0] == 0 else []) + of(arg[2])
+
+    return sorted(set(of(sre.parse(pattern))))
+
+
+def brute_labels(text):
+    """Labels of the places of all rules that no place of a stronger or equal level contains; no keyword is asked."""
+    norm, places = f" {text} ", []
+    for i, label, level, _, _, pattern in licenses.rules():
+        for m in re.finditer(f"(?<= )(?:{pattern})(?= )", norm):
+            places.append((m.start(), -m.end(), level, i, label))
+    places, kept = sorted(places), set()
+    for at, (start, back, level, _, label) in enumerate(places):
+        if not any(o[1] <= back and o[2] <= level for o in places[:at]):
+            kept.add(label)
+    kept |= {label for phrase, label in licenses.BASE if f" {phrase} " in norm}
+    return ",".join(sorted(kept))
+
+
+def test_license_rules_fire_alone(spark):
+    """Each alternative of each name and single rule as a whole text, and each sentence around the shortest name."""
+    texts = [w for _, name, _ in licenses.NAMES for w in ways(name)]
+    texts += [w for _, _, sentence, _ in licenses.SINGLE for w in ways(sentence)]
+    texts += [w for _, _, sentence in licenses.TEMPLATES for name in ("mit", "expat", "mit 0") for w in ways(sentence.format(name))]
+    want = {t: brute_labels(t) for t in texts}
+    assert want["released under the terms of the mit"] and want["mit no attribution"] and want["may not be copied"]
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = licenses.scan_licenses(docs, "scan").select("text", "scan.labels").collect()
+    assert {r["text"]: r["labels"] for r in got} == want
+
+
+def test_license_keywords_are_in_every_match():
+    for _, name, words in licenses.NAMES:
+        assert all(any(w in f" {text} " for w in words.split("|")) for text in ways(name)), name
+    for _, _, sentence, words in licenses.SINGLE:
+        assert all(any(w in f" {text} " for w in words.split("|")) for text in ways(sentence)), sentence
+    for _, sign, sentence in licenses.TEMPLATES:
+        assert all(sign in f" {text} " for text in ways(sentence.format("x"))), sentence
+
+
+def test_license_other(spark):
+    rows = ["Released under the XYZ", "Released under the terms of the MIT", "MIT-0", "may not be redistributed", "mit und ohne",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = [r["labels"] for r in licenses.digest(docs).orderBy("doc_id").collect()]
+    assert got == ["other", "mit", "mit-0", "proprietary", "", "isc"]
