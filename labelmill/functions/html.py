@@ -144,6 +144,71 @@ def page_blocks(html: str | None, spec: BlockSpec) -> list[tuple]:
     return [b.row() for b in parser.done]
 
 
+# Elements before which a paragraph without end tag ends.
+ENDS_P = frozenset(
+    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main "
+    "menu nav ol p pre section table ul".split()
+)
+
+
+class _TextParser(HTMLParser):
+    """The first h1, every p and the first li; an element left open ends with the element around it."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.stack: list[tuple[str, list[str] | None]] = []
+        self.parts: dict[str, list[list[str]]] = {"h1": [], "p": [], "li": []}
+        self.silent = 0
+
+    def _close(self, depth: int) -> None:
+        for tag, _ in self.stack[depth:]:
+            self.silent -= tag in ("script", "style")
+        del self.stack[depth:]
+
+    def handle_data(self, data: str) -> None:
+        if not self.silent:
+            for _, texts in self.stack:
+                if texts is not None:
+                    texts.append(data)
+
+    def handle_startendtag(self, tag, attrs) -> None:
+        self.handle_starttag(tag, attrs)
+
+    def handle_starttag(self, tag, attrs) -> None:
+        if tag in ENDS_P and "p" in (tags := [t for t, _ in self.stack]):
+            self._close(tags.index("p"))
+        if tag == "li":
+            tags = [t for t, _ in self.stack]
+            lists = [i for i, t in enumerate(tags) if t in ("ul", "ol", "menu")]
+            items = [i for i, t in enumerate(tags) if t == "li" and i > (lists[-1] if lists else -1)]
+            if items:
+                self._close(items[0])
+        if tag in VOID:
+            if tag == "br":
+                self.handle_data(" ")
+            return
+        texts: list[str] | None = [] if tag in self.parts else None
+        if texts is not None:
+            self.parts[tag].append(texts)
+        self.silent += tag in ("script", "style")
+        self.stack.append((tag, texts))
+
+    def handle_endtag(self, tag) -> None:
+        at = [i for i, (t, _) in enumerate(self.stack) if t == tag]
+        if at:
+            self._close(at[-1])
+
+
+def page_text(html: str | None) -> tuple[str | None, str, str | None]:
+    """(title, body, item) of the whole page: its first h1, its paragraphs joined by line ends, and its first li, white
+    space at the ends removed; null where the page has no h1 or li."""
+    parser = _TextParser()
+    parser.feed(html or "")
+    parser.close()
+    h1, p, li = (["".join(x).strip() for x in parser.parts[tag]] for tag in ("h1", "p", "li"))
+    return h1[0] if h1 else None, "\n".join(p), li[0] if li else None
+
+
 class _LinkParser(HTMLParser):
     """Targets of the anchors inside an element, in document order."""
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.functions.html import BlockSpec, page_blocks, page_links
+from labelmill.functions.html import BlockSpec, page_blocks, page_links, page_text
 from labelmill.functions.pycode import repair_or_drop
 from labelmill.functions.text import RANK_LINE_RE, strip_space
 
@@ -81,6 +81,12 @@ def extract_blocks(pages: DataFrame, html: str, *keep: str, spec: BlockSpec | No
         "code": ("string", pa.string())})
 
 
+def extract_page_text(pages: DataFrame, html: str, *keep: str) -> DataFrame:
+    """One row per page, from all of it: (keep..., title, body, item), the first h1, all p and the first li."""
+    return _parse_pages(pages, html, keep, lambda page: [page_text(page)], {
+        "title": ("string", pa.string()), "body": ("string", pa.string()), "item": ("string", pa.string())})
+
+
 def has_rank_line(body: Column) -> Column:
     """The body tells a leaderboard rank: '[language: X] a/b' with a or b in 1..100."""
     return F.coalesce(body.rlike(RANK_LINE_RE), F.lit(False))
