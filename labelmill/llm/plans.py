@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from labelmill.llm import (
-    decontaminate, langid, licenses, minhash, mixing, mixlm, pii, toxicity, urls, vectors,
+    content, decontaminate, langid, licenses, minhash, mixing, mixlm, pii, runs, spelling, toxicity, urls, vectors,
 )
 from labelmill.session import table
 
@@ -49,6 +49,18 @@ def op10_url_filter(spark, sf):
     return urls.digest(table(spark, sf, "pages"))
 
 
+def op11_html_content(spark, sf):
+    return content.digest(table(spark, sf, "pages"))
+
+
+def op12_periodic_runs(spark, sf):
+    return runs.digest(table(spark, sf, "documents"))
+
+
+def op13_spelling_variants(spark, sf):
+    return spelling.digest(table(spark, sf, "documents"))
+
+
 def pipeline(spark, sf):
     """The stages of corpus_pipeline.py, one after another."""
     return corpus_pipeline.run(spark, sf)
@@ -58,7 +70,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_toxicity, op3_decontaminate, op4_language_id, op5_vector_near_dup, op6_license_scan,
-        op7_mix_sources, op8_pii, op9_minhash_near_dup, op10_url_filter, pipeline,
+        op7_mix_sources, op8_pii, op9_minhash_near_dup, op10_url_filter, op11_html_content,
+        op12_periodic_runs, op13_spelling_variants, pipeline,
     )
 }
 ORACLES = {
@@ -66,4 +79,5 @@ ORACLES = {
     "op5_vector_near_dup": vectors.ORACLE,
     "op9_minhash_near_dup": minhash.ORACLE,
     "op10_url_filter": urls.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
