@@ -5,15 +5,17 @@ segmentations into pieces, computed by the forward algorithm on the lattice of p
 is the product over its words.  The piece probabilities are learned by expectation maximisation (forward-backward) on
 the word counts of a bounded sample of labelled documents.
 
-A word is a run of bytes without ASCII white space, lowered, with a blank before it; runs of more than 32 bytes are
-cut every 32.  Every single byte is a piece, so every word has a segmentation.
+A word is a run of bytes without ASCII white space, lowered, with a blank before it, however long.  Every single byte is a
+piece, so every word has a segmentation.  Along a long word the forward and backward values are rescaled every ``RESCALE`` bytes.
+
+The vocabulary is an input: a file of base64 pieces and ranks that the driver reads.  Languages are a list that one can loop over: the
+model has a row of piece probabilities for each.
 """
 
 from __future__ import annotations
 
 import base64
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import ahocorasick
@@ -27,10 +29,11 @@ from labelmill.llm.common import checkpoint, fresh, held_out
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SAMPLE_DOCS = 2000        # labelled documents per language that the probabilities are learned from, about
 ROUNDS, SMOOTHING = 3, 0.01
-CUT = 32
+RESCALE = 24              # bytes after which the values along a word are brought back to 1
 UNKNOWN = "und"
 _CACHE_WORDS = 200_000    # distinct words whose probabilities a task keeps
-_LETTER = re.compile(r"[^\W\d_]")
+_TEXTS = 500              # texts whose words are scored together
+_LATTICE_BYTES = 1 << 16  # bytes of the words whose lattice is held at once; a longer word has one of its own
 
 
 def read_pieces(path: str = VOCABULARY) -> list[bytes]:
@@ -43,54 +46,104 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").split()
 
 
-def stretches(word: bytes) -> list[str]:
-    """The word as strings of one character a byte: blank first, cut every ``CUT`` bytes."""
-    s = word.decode("latin-1")
-    return [" " + s] if len(s) <= CUT else [(" " if i == 0 else "") + s[i:i + CUT] for i in range(0, len(s), CUT)]
+def as_string(word: bytes) -> str:
+    """The word with its blank as a string of one character a byte."""
+    return " " + word.decode("latin-1")
+
+
+def in_blocks(strings: list[str]) -> Iterator[list[int]]:
+    """Positions of the strings, by length, in blocks of about ``_LATTICE_BYTES``."""
+    block, held = [], 0
+    for i in sorted(range(len(strings)), key=lambda i: len(strings[i])):
+        if block and held + len(strings[i]) > _LATTICE_BYTES:
+            yield block
+            block, held = [], 0
+        block.append(i)
+        held += len(strings[i])
+    if block:
+        yield block
 
 
 class Lattice:
     """All pieces in a list of strings as arcs between states; a string of n bytes has n + 1 states."""
 
     def __init__(self, strings: list[str], automaton, lengths: np.ndarray):
-        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-        offset = np.cumsum(sizes) - sizes
-        self.first = offset + np.arange(len(strings))
-        self.last = self.first + sizes
+        self.sizes = np.fromiter(map(len, strings), np.int32, len(strings))
+        offset = np.cumsum(self.sizes) - self.sizes
+        self.first = (offset + np.arange(len(strings))).astype(np.int32)
+        self.last = self.first + self.sizes
         self.states = int(self.last[-1]) + 1 if len(strings) else 0
-        found = np.fromiter(chain.from_iterable(automaton.iter("".join(strings))), np.int64)
+        self.reach = int(lengths.max())
+        found = np.fromiter(chain.from_iterable(automaton.iter("".join(strings))), np.int32)
         end, piece = found[::2] + 1, found[1::2]
-        owner = np.searchsorted(offset, end - 1, side="right") - 1
-        depth, length = end - offset[owner], lengths[piece]
+        owner = (np.searchsorted(offset, end - 1, side="right") - 1).astype(np.int32)
+        depth, length = (end - offset[owner]).astype(np.int32), lengths[piece].astype(np.int32)
         inside = length <= depth
         end, piece, owner, depth, length = (x[inside] for x in (end, piece, owner, depth, length))
         order = np.argsort(depth, kind="stable")
-        self.piece, self.owner = piece[order], owner[order]
+        self.piece, self.owner, self.depth = piece[order], owner[order], depth[order]
         self.end = (end + owner)[order]
         self.start = self.end - length[order]
-        self.cuts = np.searchsorted(depth[order], np.arange(1, (depth.max() if len(depth) else 0) + 2))
+        self.cuts = np.searchsorted(self.depth, np.arange(1, (depth.max() if len(depth) else 0) + 2))
+        # Bytes after which values are rescaled: their number is the largest any string needs.
+        self.marks = int(self.sizes.max(initial=0)) // RESCALE
 
     def _layers(self):
-        return [slice(a, b) for a, b in zip(self.cuts[:-1], self.cuts[1:]) if b > a]
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Summed probability of all ways from a string's first state; ``p`` has a value per arc on its last axis."""
+        return [(d, slice(a, b)) for d, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:]), 1)]
+
+    def _rescale(self, values: np.ndarray, logs: np.ndarray, mark: int, low: int, high: int) -> None:
+        """Divide each long enough string's values at the depths low .. high by their largest, and note its logarithm."""
+        long = np.flatnonzero(self.sizes >= mark * RESCALE)
+        at = self.first[long][:, None] + np.arange(max(low, 0), high + 1)
+        window = values[..., at]
+        top = window.max(axis=-1, keepdims=True)
+        values[..., at] = window / top
+        logs[..., long, mark - 1] = np.log(top[..., 0])
+
+    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(summed probability of all ways from a string's first state to each state, logarithms taken out at each mark);
+        ``p`` has a value per arc on its last axis.  A state's value lacks those of the marks less than ``reach`` beyond it."""
         alpha = np.zeros((*p.shape[:-1], self.states))
+        logs = np.zeros((*p.shape[:-1], len(self.sizes), self.marks))
         alpha[..., self.first] = 1.0
-        for layer in self._layers():
-            ways = alpha[..., self.start[layer]] * p[..., layer]
+        for depth, layer in self._layers():
             ends = self.end[layer]
-            heads = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])
-            alpha[..., ends[heads]] = np.add.reduceat(ways, heads, axis=-1)
-        return alpha
-
-    def backward(self, p: np.ndarray) -> np.ndarray:
+            if len(ends):
+                ways = alpha[..., self.start[layer]] * p[..., layer]
+                heads = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])
+                alpha[..., ends[heads]] = np.add.reduceat(ways, heads, axis=-1)
+            if depth % RESCALE == 0:
+                self._rescale(alpha, logs, depth // RESCALE, depth - self.reach + 1, depth)
+        return alpha, logs
+
+    def backward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from a string's last state; a state's value lacks the logarithms of the marks beyond it."""
         beta = np.zeros((*p.shape[:-1], self.states))
+        logs = np.zeros((*p.shape[:-1], len(self.sizes), self.marks))
         beta[..., self.last] = 1.0
-        for layer in reversed(self._layers()):
+        for depth, layer in reversed(self._layers()):
             # Arcs of one layer end at one depth, so a string has at most one of them from each state.
             beta[..., self.start[layer]] += p[..., layer] * beta[..., self.end[layer]]
-        return beta
+            if depth % RESCALE == 0:
+                self._rescale(beta, logs, depth // RESCALE, depth - self.reach, depth - 1)
+        return beta, logs
+
+    def log_totals(self, p: np.ndarray) -> np.ndarray:
+        """Logarithm of each string's probability."""
+        alpha, logs = self.forward(p)
+        return np.log(alpha[..., self.last]) + logs.sum(axis=-1)
+
+    def uses(self, p: np.ndarray) -> np.ndarray:
+        """Expected uses of each arc, given its string; ``p`` is one value per arc."""
+        (alpha, taken), (beta, later) = self.forward(p), self.backward(p)
+        total = np.log(alpha[self.last]) + taken.sum(axis=1)
+        before = np.concatenate([np.zeros((len(self.sizes), 1)), np.cumsum(taken, axis=1)], axis=1)
+        after = np.concatenate([np.cumsum(later[:, ::-1], axis=1)[:, ::-1], np.zeros((len(self.sizes), 1))], axis=1)
+        start_depth, end_depth = self.depth - (self.end - self.start), self.depth
+        marks = np.minimum((start_depth + self.reach - 1) // RESCALE, self.sizes[self.owner] // RESCALE)
+        with np.errstate(divide="ignore"):
+            logs = np.log(alpha[self.start]) + np.log(p) + np.log(beta[self.end]) - total[self.owner]
+        return np.exp(logs + before[self.owner, marks] + after[self.owner, end_depth // RESCALE])
 
 
 def build_automaton(pieces: list[bytes]):
@@ -105,12 +158,10 @@ def expected_counts(strings: list[str], lang: np.ndarray, weight: np.ndarray, p:
                     lengths: np.ndarray) -> np.ndarray:
     """[language, piece] expected uses of the pieces in strings of the given languages and weights."""
     out = np.zeros(p.shape)
-    net = Lattice(strings, automaton, lengths)
-    arc = p[lang[net.owner], net.piece]
-    alpha, beta = net.forward(arc), net.backward(arc)
-    total = alpha[net.last][net.owner]
-    used = weight[net.owner] * alpha[net.start] * arc * beta[net.end] / total
-    np.add.at(out, (lang[net.owner], net.piece), used)
+    for block in in_blocks(strings):
+        net = Lattice([strings[i] for i in block], automaton, lengths)
+        langs = lang[block][net.owner]
+        np.add.at(out, (langs, net.piece), weight[block][net.owner] * net.uses(p[langs, net.piece]))
     return out
 
 
@@ -122,14 +173,44 @@ class Model:
 
     def word_scores(self, words: list[bytes], automaton, lengths: np.ndarray) -> np.ndarray:
         """[language, word] natural log of the words' probabilities."""
-        parts = [stretches(w) for w in words]
-        flat = list(chain.from_iterable(parts))
-        if not flat:
-            return np.zeros((len(self.langs), 0))
-        net = Lattice(flat, automaton, lengths)
-        each = np.log(net.forward(self.p[:, net.piece])[:, net.last])
-        heads = np.cumsum([0, *map(len, parts[:-1])])
-        return np.add.reduceat(each, heads, axis=1)
+        strings = [as_string(w) for w in words]
+        out = np.zeros((len(self.langs), len(words)))
+        for block in in_blocks(strings):
+            net = Lattice([strings[i] for i in block], automaton, lengths)
+            out[:, block] = net.log_totals(self.p[:, net.piece])
+        return out
+
+
+class Scorer:
+    """A task's automaton and the scores of the words that it has met lately: a table that grows by doubling."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.automaton, self.lengths = build_automaton(model.pieces)
+        self.known: dict[bytes, int] = {}
+        self.table = np.zeros((len(model.langs), 1 << 12))
+
+    def best(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """The likeliest language of each text and its posterior."""
+        split = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
+        if len(self.known) > _CACHE_WORDS:
+            self.known.clear()
+        new = list({w for words in split for w in words if w not in self.known})
+        n = len(self.known) + len(new)
+        if n > self.table.shape[1]:
+            more = max(n, 2 * self.table.shape[1]) - self.table.shape[1]
+            self.table = np.concatenate([self.table, np.zeros((len(self.table), more))], axis=1)
+        self.table[:, len(self.known):n] = self.model.word_scores(new, self.automaton, self.lengths)
+        self.known.update(zip(new, range(len(self.known), n)))
+        return [self._best(words) for words in split]
+
+    def _best(self, words: list[bytes]) -> tuple[str, float]:
+        if not words:
+            return UNKNOWN, 0.0
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        total = self.model.prior + self.table[:, at].sum(axis=1)
+        top = int(total.argmax())
+        return self.model.langs[top], float(1.0 / np.exp(total - total[top]).sum())
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", vocabulary: str = VOCABULARY,
@@ -171,12 +252,8 @@ def _round(counts: DataFrame, p: np.ndarray, pieces: list[bytes]) -> np.ndarray:
         automaton, lengths = build_automaton(pieces)
         total = np.zeros(p.shape)
         for rows in batches:
-            parts = [stretches(w) for w in rows["word"]]
-            times = np.fromiter(map(len, parts), np.int64, len(parts))
-            if len(parts):
-                total += expected_counts(
-                    list(chain.from_iterable(parts)), np.repeat(rows["lang"].to_numpy(np.int64), times),
-                    np.repeat(rows["n"].to_numpy(float), times), p, automaton, lengths)
+            total += expected_counts([as_string(w) for w in rows["word"]], rows["lang"].to_numpy(np.int64),
+                                     rows["n"].to_numpy(float), p, automaton, lengths)
         lang, piece = np.nonzero(total)
         yield pd.DataFrame({"lang": lang, "piece": piece, "used": total[lang, piece]})
 
@@ -196,30 +273,10 @@ def predict(text: Column, model: Model | None) -> Column:
             for texts in batches:
                 yield pd.DataFrame({"lang": [UNKNOWN] * len(texts), "score": 0.0})
             return
-        automaton, lengths = build_automaton(model.pieces)
-        known: dict[bytes, int] = {}
-        table = np.zeros((len(model.langs), 0))
+        scorer = Scorer(model)
         for texts in batches:
-            if len(known) > _CACHE_WORDS:
-                known, table = {}, table[:, :0]
-            split = [words_of(t) if t and _LETTER.search(t) else [] for t in texts]
-            new = {w for words in split for w in words if w not in known}
-            new = sorted(new)
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            scores = [model.word_scores(new[i:i + 20_000], automaton, lengths) for i in range(0, len(new), 20_000)]
-            table = np.concatenate([table, *scores], axis=1)
-            lang, score = [], []
-            for words in split:
-                if not words:
-                    lang.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                total = model.prior + table[:, at].sum(axis=1)
-                top = int(total.argmax())
-                lang.append(model.langs[top])
-                score.append(float(1.0 / np.exp(total - total[top]).sum()))
-            yield pd.DataFrame({"lang": lang, "score": score})
+            found = [scorer.best(texts.iloc[i:i + _TEXTS]) for i in range(0, len(texts), _TEXTS)]
+            yield pd.DataFrame(list(chain.from_iterable(found)), columns=["lang", "score"])
 
     return best(text)
 
