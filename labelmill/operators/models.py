@@ -1,8 +1,9 @@
-"""Per-label classifiers on Spark ML.
+"""Per-label classifiers.
 
 One binary model per label.  Features are built once, checkpointed to the shared folder and read by
-every fit, so neither a lost executor nor another label repeats the feature work.  Fits of different
-labels overlap through a small thread pool; each fit is itself distributed.
+every fit, so neither a lost executor nor another label repeats the feature work.  Logistic models of all labels, grid
+points and folds are fitted in the same passes (``logistic``); forests are Spark ML's, those of different
+labels overlap through a small thread pool, and each fit is itself distributed.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -26,6 +28,7 @@ from labelmill.functions.arrays import let, string_array
 from labelmill.functions.hashing import hash_bucket
 from labelmill.operators import evaluate as ev
 from labelmill.operators import vectors as vec
+from labelmill.operators.logistic import LinearModel, Logistic, Spec, fit_all, fold_probabilities, pack, probabilities, sparse_parts
 from labelmill.session import ensure_checkpoint_dir, values
 
 BAG_WIDTH = 1 << 18     # hashed tokens of a logistic model
@@ -119,21 +122,12 @@ def count_positives(df: DataFrame, labels: str, classes: Sequence[str]) -> tuple
 
 # ---- fitting ---------------------------------------------------------------------------------
 
-Build = Callable[[int, int], Estimator]
+Build = Callable[[int, int], Estimator] | Logistic
 
 
-def logistic(c: float = BOW_C, max_iter: int = BOW_ITERATIONS, aggregation_depth: int = 2) -> Build:
-    """L2 logistic regression; an inverse strength C over n rows is a Spark regParam of 1 / (C n).  With very many tasks a
-    larger ``aggregation_depth`` sums the gradients, as wide as the features, in more levels."""
-
-    def build(n: int, positives: int) -> Estimator:
-        return LogisticRegression(
-            featuresCol="features", labelCol="_y", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0,
-            standardization=False, maxIter=max_iter, tol=1e-4,
-            aggregationDepth=aggregation_depth,
-        )
-
-    return build
+def logistic(c: float = BOW_C, max_iter: int = BOW_ITERATIONS) -> Logistic:
+    """L2 logistic regression of inverse strength ``c``, for all labels at once."""
+    return Logistic(c, max_iter)
 
 
 def forest(trees: int, depth: int | None = None, min_split: int = 2, min_leaf: int = 1, balanced: bool = False,
@@ -158,40 +152,57 @@ class LabelModels:
     """One fitted model per label; labels without a model have a constant probability."""
 
     classes: list[str]
-    models: dict[str, Model] = field(default_factory=dict)
+    models: dict[str, Model | LinearModel] = field(default_factory=dict)
     constants: dict[str, float] = field(default_factory=dict)
 
     def probabilities(self, df: DataFrame, output: str = "p") -> DataFrame:
         """Add array<double> with one probability per class: row-local, all models in one stage."""
+        linear = [c for c in self.classes if isinstance(self.models.get(c), LinearModel)]
+        if linear:
+            df = df.withColumn("_linear", probabilities([self.models[c] for c in linear], F.col("features")))
         columns = []
         for i, c in enumerate(self.classes):
-            if c not in self.models:
+            if c in linear:
+                columns.append(F.col("_linear")[linear.index(c)])
+            elif c in self.models:
+                model = self.models[c].copy()
+                model.setRawPredictionCol("").setPredictionCol("").setProbabilityCol(f"_p{i}")
+                df = model.transform(df)
+                columns.append(vector_to_array(f"_p{i}")[1])
+            else:
                 columns.append(F.lit(self.constants.get(c, 0.0)))
-                continue
-            model = self.models[c].copy()
-            model.setRawPredictionCol("").setPredictionCol("").setProbabilityCol(f"_p{i}")
-            df = model.transform(df)
-            columns.append(vector_to_array(f"_p{i}")[1])
         out = df.withColumn(output, F.array(*columns))
-        return out.drop(*[f"_p{i}" for i in range(len(self.classes))])
+        return out.drop("_linear", *[f"_p{i}" for i in range(len(self.classes))])
 
     def save(self, path: str, spark) -> None:
-        """One folder per model and a small table that says which label each folder answers."""
-        rows = []
+        """One folder per model and a small table that says which label each folder answers.  Logistic models are one table of the
+        coefficients that are not zero."""
+        rows, linear = [], []
         for i, c in enumerate(self.classes):
-            rows.append((i, c, c in self.models, self.constants.get(c, 0.0)))
-            if c in self.models:
-                PipelineModel([self.models[c]]).write().overwrite().save(f"{path}/label={i}")
-        listed = spark.createDataFrame(rows, "i int, label string, fitted boolean, constant double")
+            model = self.models.get(c)
+            kind = "linear" if isinstance(model, LinearModel) else "none" if model is None else "spark"
+            rows.append((i, c, kind, self.constants.get(c, 0.0)))
+            if kind == "spark":
+                PipelineModel([model]).write().overwrite().save(f"{path}/label={i}")
+            elif kind == "linear":
+                linear.append((i, model.width, [int(x) for x in model.slots], [float(x) for x in model.weights], model.intercept))
+        listed = spark.createDataFrame(rows, "i int, label string, kind string, constant double")
         listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+        spark.createDataFrame(linear, "i int, width int, slots array<int>, weights array<double>, intercept double").coalesce(
+            1).write.mode("overwrite").parquet(f"{path}/linear")
 
     @classmethod
     def load(cls, path: str, spark) -> LabelModels:
         out = cls([])
+        linear = {r["i"]: r for r in spark.read.parquet(f"{path}/linear").collect()}
         for r in sorted(spark.read.parquet(f"{path}/labels").collect(), key=lambda r: r["i"]):
             out.classes.append(r["label"])
-            if r["fitted"]:
+            if r["kind"] == "spark":
                 out.models[r["label"]] = PipelineModel.load(f"{path}/label={r['i']}").stages[0]
+            elif r["kind"] == "linear":
+                m = linear[r["i"]]
+                out.models[r["label"]] = LinearModel(
+                    m["width"], np.array(m["slots"], np.int64), np.array(m["weights"], float), m["intercept"])
             elif r["constant"]:
                 out.constants[r["label"]] = r["constant"]
         return out
@@ -207,13 +218,16 @@ def fit_labels(train: DataFrame, labels: str, classes: Sequence[str], build: Bui
                parallelism: int = 4, max_rows: int | None = None) -> LabelModels:
     """Fit one binary model per class on ``train(features, labels)``.
 
-    ``max_rows`` bounds the rows that are fitted on: about so many, sampled, which bounds a forest's size as well.
+    ``max_rows`` bounds the rows that a forest is fitted on, and so its size: about so many, chosen by a hash of features and
+    labels, whatever the partitions.  Logistic models take all rows: their size does not grow.
 
     A class with too few positives is skipped (probability 0); one that every row has is constant 1.
     """
+    if isinstance(build, Logistic):
+        return fit_logistic(train, labels, classes, [build], min_positives)[-1][0]
     n, positives = count_positives(train, labels, classes)
     if max_rows is not None and n > max_rows:
-        train = train.sample(max_rows / n, SEED)
+        train = train.where(F.pmod(F.xxhash64(F.col("features").cast("string"), F.col(labels).cast("string"), F.lit(SEED)), F.lit(n)) < max_rows)
         n, positives = count_positives(train, labels, classes)
     fitted = LabelModels(list(classes))
     todo = []
@@ -239,6 +253,44 @@ def fit_labels(train: DataFrame, labels: str, classes: Sequence[str], build: Bui
     return fitted
 
 
+def fit_logistic(train: DataFrame, labels: str, classes: Sequence[str], settings: Sequence[Logistic], min_positives: int = 1,
+                 folds: str | None = None) -> dict[int, list[LabelModels]]:
+    """The models of every setting in one fit: on all rows (key -1), or with a column ``folds``, on the rows outside each fold.
+
+    Classes that are too rare among the fitted rows have probability 0 there, those of every row 1, as in ``fit_labels``.
+    """
+    fold = F.lit(-2) if folds is None else F.col(folds).cast("int")
+    y = F.array(*[F.coalesce(F.array_contains(labels, c), F.lit(False)) for c in classes])
+    slots, values = sparse_parts(F.col("features"))
+    rows = train.select(slots.alias("slots"), values.alias("values"), y.alias("labels"), fold.alias("fold"),
+                        F.unwrap_udt("features")["size"].alias("size"))
+    hits = [F.count_if(F.col("labels")[i]).alias(f"c{i}") for i in range(len(classes))]
+    width = F.max(F.coalesce("size", F.size("values"))).alias("width")
+    counts = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), width, *hits).collect()}
+    n = {k: r["n"] for k, r in counts.items()}
+    models: dict[int, list[LabelModels]] = {
+        k: [LabelModels(list(classes)) for _ in settings] for k in (sorted(counts) if folds else [-1])}
+    specs = {}
+    for k, fitted in models.items():
+        inside = [r for f, r in counts.items() if f != k]
+        fit_on = sum(r["n"] for r in inside)
+        for i, c in enumerate(classes):
+            positives = sum(r[f"c{i}"] for r in inside)
+            if positives < max(min_positives, 1):
+                continue
+            for g, setting in enumerate(settings):
+                if positives == fit_on:
+                    fitted[g].constants[c] = 1.0
+                else:
+                    specs[k, g, c] = Spec(i, k, setting)
+    if specs:
+        size = max(r["width"] for r in counts.values())
+        found = fit_all(pack(rows, size), size, list(dict.fromkeys(specs.values())), n)
+        for (k, g, c), spec in specs.items():
+            models[k][g].models[c] = found[spec]
+    return models
+
+
 # ---- label assignment ------------------------------------------------------------------------
 
 def above_half(p: str, classes: Sequence[str]) -> Column:
@@ -269,33 +321,58 @@ LOGISTIC_GRID = {"c": [0.1, 1.0, 10.0], "max_iter": [100, 200]}
 
 
 def grid_search(train: DataFrame, key: str, labels: str, classes: Sequence[str], make: Callable[..., Build],
-                grid: Sequence[dict], folds: int = 3, seed: int = SEED, metric: str = "f1_macro",
-                ) -> tuple[dict, list[tuple[int, int, dict, float]], LabelModels]:
-    """(best parameters, scores, model refitted on all of ``train``).
+                grid: Sequence[dict], folds: int = 3, seed: int = SEED, metric: str = "f1_macro", max_rows: int | None = None,
+                refit: bool = True) -> tuple[dict, list[tuple[int, int, dict, float]], LabelModels | None]:
+    """(best parameters, scores, model refitted on all of ``train`` unless ``refit`` is false).
 
     A row's fold is a hash of its key.  A score is the metric over all labels jointly on the held-out
-    fold; the best mean wins, the earlier grid point on a tie.
+    fold; the best mean wins, the earlier grid point on a tie.  Logistic models of all points and folds are fitted in the same
+    passes and scored in one.
     """
-    df = train.withColumn("_fold", hash_bucket(F.col(key), seed) % folds)
-    scores = []
-    for g, params in enumerate(grid):
-        for k in range(folds):
-            fitted = fit_labels(df.where(F.col("_fold") != k), labels, classes, make(**params))
+    df = train.withColumn("_fold", (hash_bucket(F.col(key), seed) % folds).cast("int"))
+    builds = [make(**params) for params in grid]
+    if all(isinstance(b, Logistic) for b in builds):
+        scores = _logistic_scores(df, labels, classes, builds, folds, metric)
+    else:
+        scores = {}
+        for (g, build), k in product(enumerate(builds), range(folds)):
+            fitted = fit_labels(df.where(F.col("_fold") != k), labels, classes, build, max_rows=max_rows)
             held = fitted.predict(df.where(F.col("_fold") == k))
             row = ev.metrics_wide(ev.evaluation_summary(held, classes, labels, "y_pred")).head()
-            scores.append((g, k, params, 0.0 if row is None else float(row[metric])))
-    means = [sum(s for g, _, _, s in scores if g == i) / folds for i in range(len(grid))]
-    best = grid[max(range(len(grid)), key=lambda i: (means[i], -i))]
-    return best, scores, fit_labels(train, labels, classes, make(**best))
+            scores[g, k] = 0.0 if row is None else float(row[metric])
+    listed = [(g, k, grid[g], scores.get((g, k), 0.0)) for g in range(len(grid)) for k in range(folds)]
+    means = [sum(s for g, _, _, s in listed if g == i) / folds for i in range(len(grid))]
+    best = max(range(len(grid)), key=lambda i: (means[i], -i))
+    return grid[best], listed, fit_labels(train, labels, classes, builds[best], max_rows=max_rows) if refit else None
+
+
+def _logistic_scores(df: DataFrame, labels: str, classes: Sequence[str], settings: Sequence[Logistic], folds: int,
+                     metric: str) -> dict[tuple[int, int], float]:
+    """(point, fold) -> metric on the held-out fold: every row is scored by all points' models of its fold at once."""
+    fitted = fit_logistic(df, labels, classes, settings, folds="_fold")
+    width = max((m.width for points in fitted.values() for p in points for m in p.models.values()), default=0)
+    flat = {}
+    for k, points in fitted.items():
+        flat[k] = [p.models.get(c) or LinearModel(width, np.zeros(0, np.int64), np.zeros(0), 500.0 if p.constants.get(c) else -500.0)
+                   for p in points for c in classes]
+    if not flat:
+        return {}
+    scored = df.withColumn("_p", fold_probabilities(flat, F.col("features"), F.col("_fold")))
+    n = len(classes)
+    points = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(len(settings) - 1)), lambda g: F.slice("_p", g * n + 1, n)))
+    each = scored.select(F.col(labels).alias("y_true"), "_fold", points.alias("_g", "p")).select(
+        "y_true", above_half("p", classes).alias("y_pred"), F.concat_ws("/", "_g", "_fold").alias("_part"))
+    rows = ev.metrics_wide(ev.evaluation_summary(each, classes, slice_col="_part")).where("slice_type <> 'overall'").collect()
+    return {tuple(map(int, r["slice"].split("/"))): float(r[metric]) for r in rows}
 
 
 def best_on_validation(train: DataFrame, val: DataFrame, labels: str, classes: Sequence[str],
                        make: Callable[..., Build], grid: Sequence[dict], metric: str = "f1_weighted",
-                       ) -> tuple[dict, float, LabelModels | None]:
+                       max_rows: int | None = None) -> tuple[dict, float, LabelModels | None]:
     """The grid point with the highest validation metric; it must be above 0 to be chosen."""
     best: tuple[dict, float, LabelModels | None] = ({}, 0.0, None)
     for params in grid:
-        fitted = fit_labels(train, labels, classes, make(**params))
+        fitted = fit_labels(train, labels, classes, make(**params), max_rows=max_rows)
         row = ev.metrics_wide(ev.evaluation_summary(fitted.predict(val), classes, labels, "y_pred")).head()
         score = 0.0 if row is None else float(row[metric])
         if score > best[1]:

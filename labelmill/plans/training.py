@@ -18,6 +18,7 @@ from labelmill.operators.splits import hash_split
 from labelmill.plans.inputs import EVAL_CLASSES, part_code, predictions, rounded
 from labelmill.session import spread, table
 
+SEARCH_WIDTH = 1 << 14  # hashed tokens of the models of a search: 36 of them share a pass
 SCORED = ["alpha", "beta", "gamma", "delta"]
 
 
@@ -63,10 +64,10 @@ def ngram_forest_metrics(spark, sf):
 
 
 def grid_search_scores(spark, sf):
-    """Three-fold scores of the logistic grid."""
-    train, _ = _parts(_bag_rows(spark, sf, code_tokens, md.BAG_WIDTH))
+    """Three-fold scores of the logistic grid, all models fitted in the same passes over bags of ``SEARCH_WIDTH`` places."""
+    train, _ = _parts(_bag_rows(spark, sf, code_tokens, SEARCH_WIDTH))
     grid = md.expand_grid(md.LOGISTIC_GRID)
-    best, scores, _ = md.grid_search(train, "doc_id", "y_true", EVAL_CLASSES, md.logistic, grid)
+    best, scores, _ = md.grid_search(train, "doc_id", "y_true", EVAL_CLASSES, md.logistic, grid, refit=False)
     rows = [(g, k, float(p["c"]), p["max_iter"], round(s, 6), p == best) for g, k, p, s in scores]
     return spark.createDataFrame(rows, "point int, fold int, c double, max_iter int, f1_macro double, best boolean")
 
@@ -117,7 +118,8 @@ def embedding_forest_metrics(spark, sf):
     train, test = _parts(rows)
     classes = ["g0", "g1", "g2", "high", "low"]
     grid = [{"trees": md.EMBEDDING_TREES, "depth": md.EMBEDDING_DEPTH, "min_split": md.EMBEDDING_MIN_SPLIT}]
-    _, _, fitted = md.best_on_validation(train, rows.where(F.col("split") == "val"), "y_true", classes, md.forest, grid)
+    _, _, fitted = md.best_on_validation(train, rows.where(F.col("split") == "val"), "y_true", classes, md.forest, grid,
+                                         max_rows=md.FIT_ROWS)
     fitted = fitted or md.LabelModels(classes)
     return _scores(fitted.predict(test), classes)
 
