@@ -34,7 +34,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _SECRET = re.compile(
     r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36}|"
-    r"(?:password|passwd|api_key|secret|token)=[^\s&;,]{6,128})")
+    r"(?:password|passwd|api_key|secret|token)=[^\s&;,]{6,})")
 _DIGITS = re.compile(r"[0-9]")
 # Lengths of IBANs by country.
 IBAN_LENGTH = {

@@ -8,8 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelmill.llm import licenses, mixlm
-from labelmill.operators import pages
+from labelmill.llm import licenses, mixlm, pii
 from tests.llm import brute
 
 
@@ -136,13 +135,9 @@ def test_license_other(spark):
     assert got == ["other", "mit", "mit-0", "proprietary", "", "isc"]
 
 
-# ---- pages ----
+# ---- 8 ----
 
-def test_page_text_is_the_whole_page(spark):
-    rows = [
-        "<html><nav><a href='/'>Home</a></nav><h1>A &amp; B</h1><p> one <b>bold</b></p><p>two<ul><li>first<li>second</ul><p>three</html>",
-        "<h1>x</h1><h1>y</h1><div><p>in<script>no()</script>side</div>out<ul><li>a<ul><li>b</li></ul></li></ul>", "no parts", "", None,
-    ]
-    docs = spark.createDataFrame(list(enumerate(rows)), "page_id long, html string")
-    got = [tuple(r)[1:] for r in pages.extract_page_text(docs, "html", "page_id").orderBy("page_id").collect()]
-    assert got == [("A & B", "one bold\ntwo\nthree", "first"), ("x", "inside", "ab"), (None, "", None), (None, "", None), (None, "", None)]
+def test_a_long_secret_is_redacted_to_its_end(spark):
+    docs = spark.createDataFrame([(1, "password=" + "q7" * 120 + " end"), (2, "token=abc no")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert "q7" not in got[1] and got[1].endswith(" end") and got[2] == "token=abc no"
