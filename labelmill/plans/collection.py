@@ -113,6 +113,11 @@ def page_text_blocks(spark, sf):
     return pg.extract_blocks(pages, "html", "page_id", spec=spec).select("page_id", "pos", "author", "body", "code")
 
 
+def page_text(spark, sf):
+    """Title, paragraphs and first list item of the whole landed pages."""
+    return pg.extract_page_text(spread(table(spark, sf, "pages").select("page_id", "html")), "html", "page_id")
+
+
 def rank_line_filter(spark, sf):
     """A rank line composed from each order; the lines without a rank remain."""
     word = F.when(F.col("o_orderstatus") == "F", "LANGUAGE").otherwise("lang")
@@ -203,7 +208,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         nested_json_explode, conversation_rows, source_tag, page_links, url_rewrite, url_key_extract, page_blocks,
-        page_block_filter, page_text_blocks, rank_line_filter, url_harvest, repo_parts, distinct_links,
+        page_block_filter, page_text_blocks, page_text, rank_line_filter, url_harvest, repo_parts, distinct_links,
         best_path_per_key, strict_path_per_key, decode_blob,
     )
 }
@@ -215,6 +220,14 @@ WITH RECURSIVE y AS (SELECT page_id, (2015 + (page_id // 8) % 9)::VARCHAR AS y,
 cal AS (SELECT yy::INT AS year, dd::INT AS day, lpad(dd::VARCHAR, 2, '0') AS pad
         FROM range(2015, 2024) a(yy), range(1, 26) b(dd)),
 """
+
+
+def _plain(x: str) -> str:
+    """SQL: the text of a piece of a page."""
+    bare = f"regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&amp$', '&amp;')"
+    return f"regexp_replace(replace(replace({bare}, '&quot;', '\"'), '&amp;', '&'), '^{WS}+|{WS}+$', '', 'g')"
+
+
 _BLOCKS = f"""
 WITH c AS (SELECT conv_id, turn, role, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS body,
   '[LANGUAGE: Python] ' || (conv_id * 3) || ' / ' || (conv_id * 7) AS rank,
@@ -260,6 +273,13 @@ WHERE code IS NOT NULL AND NOT (conv_id * 3 BETWEEN 1 AND 100 AND conv_id * 7 <=
     "page_text_blocks": """
 SELECT page_id, 0 AS pos, trim(replace(regexp_extract(html, '(?s)<nav>.*?<a [^>]*>([^<]*)</a>', 1), '&amp;', '&')) AS author,
   '' AS body, NULL::VARCHAR AS code FROM pages WHERE contains(html, '<nav>')""",
+    "page_text": f"""
+WITH raw AS (
+  SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS title, regexp_extract(html, '(?s)<li>(.*?)</li>', 1) AS item,
+         list_transform(string_split(html, '<p>')[2:], lambda x: regexp_extract(x, '(?s)^(.*?)(</p>|</article>|$)', 1)) AS parts
+  FROM pages)
+SELECT page_id, {_plain('title')} AS title, {_plain('item')} AS item,
+  array_to_string(list_transform(parts, lambda x: {_plain('x')}), chr(10)) AS body FROM raw""",
     "rank_line_filter": """
 WITH r AS (SELECT o_orderkey, o_custkey AS a, o_orderkey % 1999 AS b, 'see [' || CASE WHEN o_orderstatus = 'F'
   THEN 'LANGUAGE' ELSE 'lang' END || ': Py 3] ' || o_custkey || CASE WHEN o_orderkey % 2 = 0 THEN '/' ELSE ' / ' END

@@ -124,3 +124,13 @@ def test_strict_search_stops_at_a_missing_folder(spark):
 def test_decode_blob(spark):
     df = spark.createDataFrame([("w6kK\n", "base64"), ("plain", "utf-8"), ("raw", None)], "c string, e string")
     assert [r[0] for r in df.select(rp.decode_blob(F.col("c"), F.col("e"))).collect()] == ["é\n", "plain", "raw"]
+
+
+def test_page_text_is_the_whole_page(spark):
+    rows = [
+        "<html><nav><a href='/'>Home</a></nav><h1>A &amp; B</h1><p> one <b>bold</b></p><p>two<ul><li>first<li>second</ul><p>three</html>",
+        "<h1>x</h1><h1>y</h1><div><p>in<script>no()</script>side</div>out<ul><li>a<ul><li>b</li></ul></li></ul>", "no parts", "", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(rows)), "page_id long, html string")
+    got = [tuple(r)[1:] for r in pg.extract_page_text(docs, "html", "page_id").orderBy("page_id").collect()]
+    assert got == [("A & B", "one bold\ntwo\nthree", "first"), ("x", "inside", "ab"), (None, "", None), (None, "", None), (None, "", None)]
