@@ -25,6 +25,27 @@ def nested_json_explode(spark, sf):
     return nj.explode_solutions(docs, "json", "event_id")
 
 
+def json_range_members(spark, sf):
+    """All documents as one ``day -> {id: text}`` document, read back from its fragments.
+
+    The fragments are those that a scan of the file would give, in ranges of 1,000 document ids, with a first and a last one
+    around them; each document adds ``"day": {"id": text}, `` and its opening quote is the one after the fragment before.
+    """
+    whole = F.to_json(F.struct(F.col("text").alias("t")))
+    value = F.when(F.col("text").isNull(), "null").otherwise(F.substring(whole, F.lit(6), F.length(whole) - 6))
+    day = (F.col("doc_id") % 25 + 1).cast("string")
+    member = F.concat(day, F.lit('": {"'), F.col("doc_id").cast("string"), F.lit('": '), value, F.lit("}, "))
+    inner = spread(table(spark, sf, "documents").select("doc_id", "text")).select(
+        F.floor(F.col("doc_id") / 1000).alias("block"), F.col("doc_id"), F.posexplode(F.split(member, '"')).alias("pos", "value"))
+    place = F.col("doc_id") % 1000 * F.lit(1 << 40) + F.col("pos")
+    inner = inner.select(F.lit("all").alias("path"), "block", place.alias("id"), "value")
+    ends = spark.range(3).select(
+        F.lit("all").alias("path"), F.when(F.col("id") == 0, -1).otherwise(F.lit((1 << 63) - 1)).alias("block"), "id",
+        F.get(F.array(F.lit("{"), F.lit("0"), F.lit(": {}}")), F.col("id").cast("int")).alias("value"))
+    rows = nj.solutions_of(inner.unionByName(ends))
+    return rows.select("day", "id", F.length("code").alias("n_chars"), F.md5("code").alias("code_md5"))
+
+
 def conversation_rows(spark, sf):
     """Each turn as one 'year -> day -> thread' document with a single comment; system turns have no
     author, first turns no code."""
@@ -207,7 +228,7 @@ def decode_blob(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        nested_json_explode, conversation_rows, source_tag, page_links, url_rewrite, url_key_extract, page_blocks,
+        nested_json_explode, json_range_members, conversation_rows, source_tag, page_links, url_rewrite, url_key_extract, page_blocks,
         page_block_filter, page_text_blocks, page_text, rank_line_filter, url_harvest, repo_parts, distinct_links,
         best_path_per_key, strict_path_per_key, decode_blob,
     )
@@ -242,6 +263,8 @@ ORACLES = {
     "nested_json_explode": """
 WITH e AS (SELECT event_id, day(ts)::INT AS day, props, unnest(json_keys(props)) AS id FROM events)
 SELECT event_id, day, id, json_extract_string(props, '$.' || id) AS code FROM e WHERE day BETWEEN 1 AND 25""",
+    "json_range_members": """
+SELECT (doc_id % 25 + 1)::INT AS day, doc_id::VARCHAR AS id, length(text)::INT AS n_chars, md5(text) AS code_md5 FROM documents""",
     "conversation_rows": """
 SELECT conv_id, turn, 2015 AS year, (conv_id % 27)::INT AS day,
   CASE WHEN role = 'system' THEN 'unknown' ELSE role END AS author,

@@ -2,7 +2,7 @@
 
 Each reader has an expression form over a string column (one JSON document per row) and a
 file form.  The file form reads one document per row, so a directory of many files is
-parallel by file.
+parallel by file; ``splittable=True`` reads a huge document by byte ranges (``json_ranges``).
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelmill.sources import json_ranges as jr
 from labelmill.vocab import FIRST_DAY, FIRST_YEAR, LAST_DAY, LAST_YEAR
 
 THREAD_DDL = (
@@ -40,11 +41,25 @@ def explode_solutions(df: DataFrame, json_col: str, *keep: str) -> DataFrame:
     return bodies.select(*keep, "day", "id", F.expr("try_variant_get(_code, '$', 'string')").alias("code"))
 
 
-def read_nested_solutions(spark: SparkSession, path: str) -> DataFrame:
+def read_nested_solutions(spark: SparkSession, path: str, splittable: bool = False) -> DataFrame:
     """Rows (path, day, id, code) of every ``day -> {id: code}`` file under ``path``."""
+    if splittable:
+        return solutions_of(jr.fragments(spark, path))
     return explode_solutions(whole_text(spark, path), "json", "path")
 
 
+def solutions_of(fragments: DataFrame) -> DataFrame:
+    """Rows (path, day, id, code) of the ``day -> {id: code}`` documents that ``fragments`` make up.
+
+    The rules are those of ``explode_solutions``; a document is no unit of work, only a code is.
+    """
+    pairs = jr.inner(jr.members(fragments, 2), 2).where("opens = '{'").select(
+        "path", F.expr("try_cast(k1 as int)").alias("day"), F.concat(F.lit("{"), "text", F.lit("}")).alias("_pair"))
+    pairs = pairs.where(F.col("day").between(FIRST_DAY, LAST_DAY)).select(
+        "path", "day", F.explode(F.from_json("_pair", "map<string,variant>")).alias("id", "_code"))
+    return pairs.select("path", "day", "id", F.expr("try_variant_get(_code, '$', 'string')").alias("code"))
+
+
 def explode_threads(df: DataFrame, json_col: str, *keep: str) -> DataFrame:
     """``year -> day -> {..., comments[]}`` to rows (keep..., year, day, pos, author, code).
 
@@ -65,10 +80,26 @@ def explode_threads(df: DataFrame, json_col: str, *keep: str) -> DataFrame:
     )
 
 
-def read_thread_solutions(spark: SparkSession, path: str) -> DataFrame:
+def read_thread_solutions(spark: SparkSession, path: str, splittable: bool = False) -> DataFrame:
+    """Rows (year, day, pos, author, code) of every ``year -> day -> thread`` file under ``path``."""
+    if splittable:
+        return threads_of(jr.fragments(spark, path))
     return explode_threads(whole_text(spark, path), "json")
 
 
+def threads_of(fragments: DataFrame) -> DataFrame:
+    """Rows (year, day, pos, author, code) of the documents that ``fragments`` make up, by the rules of ``explode_threads``.
+
+    A comment is the unit of work.  One that is no object counts as one without author and code.
+    """
+    comments = jr.inner(jr.members(fragments, 4), 4).where("opens = '[' and k3 = 'comments'").select(
+        F.expr("try_cast(k1 as int)").alias("year"), F.expr("try_cast(k2 as int)").alias("day"),
+        F.col("place").cast("int").alias("pos"), F.from_json("text", "author string, code string").alias("_c"))
+    return comments.where(F.col("day").between(FIRST_DAY, LAST_DAY)).select(
+        "year", "day", "pos", F.coalesce("_c.author", F.lit("unknown")).alias("author"),
+        F.coalesce("_c.code", F.lit("")).alias("code"))
+
+
 def read_thread_urls(spark: SparkSession, path: str) -> DataFrame:
     """``year -> [url, ...]`` to rows (year, day, url); the day is the list position plus one."""
     docs = whole_text(spark, path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelmill.functions.arrays import let
 from labelmill.functions.text import is_nonblank, strip_space
+from labelmill.sources import json_ranges as jr
 from labelmill.vocab import LABEL_CODES, MATRIX_HEAD_DDL
 
 SPLITS = ("train", "val", "test")
@@ -45,11 +46,15 @@ def parse_label_text(text: Column) -> Column:
     return F.coalesce(json_label_list(text), parts, F.array().cast("array<string>"))
 
 
-def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, path: str, lines: bool = False, splittable: bool = False) -> DataFrame:
     """One row per JSON record as ``r: map<string,variant>``, whatever its keys and types.
 
-    ``lines`` reads one record per line and splits large files; otherwise each file holds one list.
+    ``lines`` reads one record per line and splits large files; otherwise each file holds one list, which
+    ``splittable`` reads by byte ranges.
     """
+    if splittable:
+        listed = jr.members(jr.fragments(spark, path), 1).where("opens = '['")
+        return listed.selectExpr("from_json(text, 'map<string,variant>') as r").where("r is not null")
     if lines:
         return spark.read.text(path).selectExpr("from_json(value, 'map<string,variant>') as r").where("r is not null")
     return spark.read.text(path, wholetext=True).selectExpr(
@@ -63,7 +68,8 @@ def _key(*names: str) -> str:
     return "".join(f"if(map_contains_key(r, '{n}'), r['{n}'], " for n in others) + f"r['{last}']" + ")" * len(others)
 
 
-def read_samples(spark: SparkSession, path: str, style: str = "list", lines: bool = False) -> DataFrame:
+def read_samples(spark: SparkSession, path: str, style: str = "list", lines: bool = False,
+                 splittable: bool = False) -> DataFrame:
     """Schema-tolerant sample reader: (Year, Day, DataSource, code, labels).
 
     Code is ``Data`` or ``code``; labels are ``Labels`` or ``labels``; records without code are dropped.
@@ -71,7 +77,7 @@ def read_samples(spark: SparkSession, path: str, style: str = "list", lines: boo
     drops records without a label key.  ``style='text'`` parses a label string (a JSON list, or comma
     separated), leaves rows without a label key with an empty list and drops a null in its place.
     """
-    raw = read_records(spark, path, lines).selectExpr(
+    raw = read_records(spark, path, lines, splittable).selectExpr(
         f"try_variant_get({_key('Year', 'year')}, '$', 'int') as Year",
         f"try_variant_get({_key('Day', 'day')}, '$', 'int') as Day",
         f"try_variant_get({_key('DataSource', 'source')}, '$', 'string') as DataSource",
