@@ -7,7 +7,9 @@ ranges, which map back to offsets of the original text.
 
 The benchmark's (window, item) rows are dealt into blocks of at most about ``block_windows`` rows.  One block, the
 usual case, is one automaton that is sent to the executors; a larger benchmark takes more passes over the text
-instead of a larger automaton, and the hits of all passes are merged in the row.
+instead of a larger automaton, and the hits of all passes are merged in the row.  The blocks are a table; a pass takes one block
+through the driver, and what it found is written beside the rows before the next, so that neither the
+driver nor a task ever holds two.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import fresh, lower_ascii
+from labelmill.llm.common import checkpoint, fresh, lower_ascii, stored
 
 WINDOW, BLOCK_WINDOWS = 13, 100_000
 HITS = "n_words long, ranges array<int>, items array<string>"
@@ -99,24 +101,24 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, output: str, text: str
     named; repeated items count once.  An empty benchmark hits nothing.
     """
     listed = windows(benchmark, item, size=size)
-    blocks = -(-listed.count() // block_windows)
-    if blocks > 1:
-        listed = listed.withColumn("_block", F.pmod(F.xxhash64("window", "item"), F.lit(blocks)))
-    passes = []
-    for b in range(max(1, blocks)):
-        part = listed.where(F.col("_block") == b) if blocks > 1 else listed
-        patterns = part.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-        passes.append([(r["window"], list(r["items"])) for r in patterns.toLocalIterator()])
+    blocks = max(1, -(-listed.count() // block_windows))
+    if blocks == 1:
+        return docs.withColumn(output, _scan(F.col(text), None, _patterns(listed)))
+    listed = stored(listed.withColumn("_block", F.pmod(F.xxhash64("window", "item"), F.lit(blocks))))
     last = None
-    for i, patterns in enumerate(passes):
-        name = output if i == len(passes) - 1 else fresh(docs, "_scanned")
-        if not patterns:
-            patterns = [("\x00", [])]  # never a word
-        docs = docs.withColumn(name, _scan(F.col(text), F.col(last) if last else None, patterns))
-        docs, last = (docs.drop(last) if last else docs), name
+    for b in range(blocks):
+        name = output if b == blocks - 1 else fresh(docs, "_scanned")
+        scanned = docs.withColumn(name, _scan(F.col(text), F.col(last) if last else None, _patterns(listed.where(F.col("_block") == b))))
+        docs, last = checkpoint(scanned.drop(last) if last else scanned), name
     return docs
 
 
+def _patterns(block: DataFrame) -> list[tuple[str, list[str]]]:
+    """(window, its items) of one block; a window whose items lie in several blocks is a pattern in each."""
+    rows = block.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items")).toLocalIterator()
+    return [(r["window"], list(r["items"])) for r in rows] or [("\x00", [])]  # never a word
+
+
 def n_hit(hits: Column) -> Column:
     total = F.aggregate(
         hits["ranges"], F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("sign")),

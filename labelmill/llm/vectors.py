@@ -5,10 +5,11 @@ over is coded subspace by subspace.  A query probes its own list and every list
 a partner to lie beyond it; in a list, table lookups give the distance to each coded vector, which with the
 vector's known coding error bounds the true distance; what may be near enough is compared exactly.
 
-With the least distance r of a link (cosine c: r^2 = 2 - 2c), a vector farther than r from the boundary between its
-cell and another has no partner there.  ``slack`` scales that margin: 1 loses nothing; the default of 0.5 loses a pair
-only if more than half of its difference points straight at the boundary, which for 64 dimensions is 4 standard
-deviations off.  The lookup bound itself loses nothing.
+With the least distance r of a link (cosine c: r^2 = 2 - 2c), two linked vectors in different cells have depths behind the
+boundary between the cells that add up to r at most, so one of them is within r / 2 of it.  A query probes every list whose
+boundary is no farther than that, and a pair is compared where either vector probes the other's list: nothing is lost.
+Where both do, it counts in the list with the larger number.  ``slack`` scales the margin (0.5: r / 2; less may lose
+links).  The lookup bound itself loses nothing.
 
 Equal vectors are one row with a multiplicity.  A list is compared in blocks of at most about ``block_rows`` x
 ``block_rows`` vectors; a block returns link counts per vector and a spanning forest, never its pairs.
@@ -78,7 +79,7 @@ def encode(x: np.ndarray, book: Codebook, margin: float) -> tuple[np.ndarray, li
     own, d = _nearest(x, coarse)
     between = np.sqrt(np.maximum(_nearest(coarse, coarse)[1], 1e-18))
     away = (d - d[np.arange(len(x)), own][:, None]) / (2.0 * between[own])   # distance to each list's boundary
-    probes = [np.flatnonzero(row <= margin).tolist() for row in away]
+    probes = [np.flatnonzero(row <= margin + _EPSILON).tolist() for row in away]
     rest = x - coarse[own]
     codes = np.stack([_nearest(p, c)[0] for p, c in zip(np.array_split(rest, len(parts), axis=1), parts)], axis=1)
     decoded = np.concatenate([c[codes[:, i]] for i, c in enumerate(parts)], axis=1)
@@ -106,10 +107,13 @@ def _compare(frame: pd.DataFrame, books: dict[int, Codebook], least: float) -> p
         codes = np.frombuffer(b"".join(base["codes"]), np.uint8).reshape(len(base), -1)
         reach = np.sqrt(max(0.0, 2.0 - 2.0 * least)) + base["error"].to_numpy() + 1e-6
         near = lookup_distances(q, coarse[number], parts, codes) <= reach
-        # Each pair once: across lists from the smaller list, within a list from the smaller id.
-        qi, bi = query["id"].to_numpy(), base["id"].to_numpy()
-        foreign = query["own"].to_numpy()[:, None] < number
-        near &= foreign | ((query["own"].to_numpy()[:, None] == number) & (qi[:, None] < bi[None, :]))
+        # Each pair once: within a list from the smaller id, across lists from the smaller list, and from the larger one
+        # where the vector of the smaller one does not probe back.
+        qi, bi, own = query["id"].to_numpy(), base["id"].to_numpy(), query["own"].to_numpy()
+        back = np.zeros((len(query), len(base)), bool)
+        for other in np.unique(own[own > number]):
+            back[own == other] = [other in probes for probes in base["probes"]]
+        near &= (own[:, None] != number) & ~back | (own[:, None] == number) & (qi[:, None] < bi[None, :])
         rows, cols = near.any(axis=1), near.any(axis=0)
         cosine = np.where(near[np.ix_(rows, cols)], q[rows] @ x[cols].T, -2.0)
         # The last digits of a matrix product depend on the order of its sums: edge cases are decided one by one.
@@ -182,8 +186,7 @@ def link_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
                "codes binary, error double"))
     # Blocks of a list and chunks of the queries that probe it, from their numbers.
     cell = ["label", "width", "list"]
-    asked = index.select("id", "label", "width", "unit", "copies", "own", F.explode("probes").alias("list")).where(
-        "own <= list")
+    asked = index.select("id", "label", "width", "unit", "copies", "own", F.explode("probes").alias("list"))
     blocks = index.groupBy("label", "width", F.col("own").alias("list")).agg(
         F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     chunks = asked.groupBy(*cell).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("chunks"))
@@ -192,9 +195,10 @@ def link_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = [*cell, "block", "chunk", "id", "unit", "copies", "own"]
     base = index.withColumn("list", F.col("own")).join(layout, cell).withColumn("block", part_of("blocks")).withColumn(
-        "chunk", every("chunks")).select(*columns, "codes", "error", F.lit(True).alias("base"))
+        "chunk", every("chunks")).select(*columns, "codes", "error", "probes", F.lit(True).alias("base"))
     query = asked.join(layout, cell).withColumn("chunk", part_of("chunks")).withColumn("block", every("blocks")).select(
-        *columns, F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), F.lit(False).alias("base"))
+        *columns, F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"),
+        F.lit(None).cast("array<int>").alias("probes"), F.lit(False).alias("base"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         return _compare(frame, books, least)
