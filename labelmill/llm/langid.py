@@ -31,7 +31,7 @@ SAMPLE_DOCS = 2000        # labelled documents per language that the probabiliti
 ROUNDS, SMOOTHING = 3, 0.01
 RESCALE = 24              # bytes after which the values along a word are brought back to 1
 UNKNOWN = "und"
-_CACHE_WORDS = 200_000    # distinct words whose probabilities a task keeps
+_CACHE_WORDS = 40_000     # distinct words whose probabilities a task keeps
 _TEXTS = 500              # texts whose words are scored together
 _LATTICE_BYTES = 1 << 16  # bytes of the words whose lattice is held at once; a longer word has one of its own
 
