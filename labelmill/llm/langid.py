@@ -15,6 +15,7 @@ model has a row of piece probabilities for each.
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -229,14 +230,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         (F.lit(c), F.lit(min(1.0, sample_docs / sizes[c]))) for c in langs))[F.col("lang")]
     number = F.create_map(*chain.from_iterable((F.lit(c), F.lit(i)) for i, c in enumerate(langs)))[F.col("lang")]
 
-    @F.pandas_udf("array<binary>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([words_of(t) for t in texts], dtype=object)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: Counter[tuple[int, bytes]] = Counter()
+            for number, text in zip(batch["lang"], batch["text"]):
+                seen.update((number, w) for w in words_of(text))
+            yield pd.DataFrame({"lang": [k[0] for k in seen], "word": [k[1] for k in seen], "n": list(seen.values())})
 
     counts = checkpoint(
-        rows.where(share < keep).select(number.alias("lang"), F.explode(split("text")).alias("word"))
-        .groupBy("lang", "word").agg(F.count("*").alias("n")))
+        rows.where(share < keep).select(number.alias("lang"), "text").mapInPandas(count, "lang long, word binary, n long")
+        .groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
     p = np.full((len(langs), len(pieces)), 1.0 / len(pieces))
     for _ in range(rounds):
