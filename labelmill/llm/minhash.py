@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from labelmill.llm.common import checkpoint, checkpoint_counting, connected_comp
 BANDS, ROWS = 32, 5            # a pair of similarity 0.8 shares no band with probability 0.672^32 = 3e-6
 WIDTH, PERCENT = 5, 80         # words per shingle, least similarity in percent
 _CHUNK = 4096                  # shingles signed at a time
+_TEXTS = 500                   # texts whose sets leave a task's worker together
 
 
 class _WordHash(dict):
@@ -91,28 +93,33 @@ def _band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _sketch(text: Column, width: int, bands: int, rows: int) -> Column:
-    @F.pandas_udf("n long, digest binary, bands array<long>")
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n long, digest binary, bands array<long>")
+    def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
         for texts in batches:
             cache, out = _WordHash(), []
-            for t in texts:
-                s = shingle_set(t, width, cache)
+            for t in texts:  # one at a time: no second copy of the batch
+                s = shingle_set(t.as_py(), width, cache)
                 if len(s):
                     out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
                                 _band_keys(signature(s, bands * rows), bands)))
                 else:
                     out.append((0, None, None))
-            yield pd.DataFrame(out, columns=["n", "digest", "bands"])
+            yield pa.StructArray.from_arrays(
+                [pa.array([r[i] for r in out], kind.field(i).type) for i in range(3)], fields=list(kind))
 
     return sketch(text)
 
 
 def _shingles(text: Column, width: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<long>")
+    def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             cache = _WordHash()
-            yield pd.Series([shingle_set(t, width, cache).view(np.int64) for t in texts], dtype=object)
+            for at in range(0, len(texts), _TEXTS):
+                sets = [shingle_set(t.as_py(), width, cache).view(np.int64) for t in texts.slice(at, _TEXTS)]
+                starts = np.cumsum([0] + [len(s) for s in sets], dtype=np.int32)
+                yield pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(sets)))
 
     return shingles(text)
 
