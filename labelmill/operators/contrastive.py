@@ -30,7 +30,9 @@ STEPS = 8                # steps of an epoch: each takes an equal share of the b
 BLOCK_BATCHES = 16       # batches packed into one row of the block table
 _PIECE = 1 << 13         # numbers of a gradient piece
 _BLOCK = "step int, sizes binary, slots binary, counts binary, label_sizes binary, labels binary"
-_STATE = "epoch int, step int, best_epoch int, losses array<double>, weights binary, best binary, first binary, second binary"
+_STATE_PIECE = 1 << 16   # numbers of each array in one row of the saved state
+_STATE = "epoch int, step int, best_epoch int, losses array<double>, pieces int, piece int, weights binary, best binary, " \
+         "first binary, second binary"
 
 
 @dataclass
@@ -189,23 +191,28 @@ class _State:
         self.losses.append(loss)
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        parts = [x.astype(np.float64).tobytes() for x in (self.weights, self.best, self.first, self.second)]
-        row = (len(self.losses) - 1, self.step, self.best_epoch, self.losses, *map(bytearray, parts))
-        spark.createDataFrame([row], _STATE).coalesce(1).write.mode("append").parquet(f"{folder}/state")
+        arrays = [x.ravel() for x in (self.weights, self.best, self.first, self.second)]
+        pieces = -(-self.weights.size // _STATE_PIECE)
+        head = (len(self.losses) - 1, self.step, self.best_epoch, self.losses, pieces)
+        rows = [(*head, k, *(bytearray(x[k * _STATE_PIECE:(k + 1) * _STATE_PIECE].tobytes()) for x in arrays))
+                for k in range(pieces)]
+        spark.createDataFrame(rows, _STATE).write.mode("append").parquet(f"{folder}/state")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, shape: tuple[int, int]) -> _State | None:
-        """The last saved epoch; None if there is none."""
+        """The last epoch that is saved whole; None if there is none."""
         try:
             saved = spark.read.schema(_STATE).parquet(f"{folder}/state")
         except AnalysisException:
             return None
-        last = saved.agg(F.max("epoch")).head()[0]
+        whole = saved.groupBy("epoch").agg(F.count_distinct("piece").alias("n"), F.max("pieces").alias("pieces")).where("n = pieces")
+        last = whole.agg(F.max("epoch")).head()[0]
         if last is None:
             return None
-        row = saved.where(F.col("epoch") == last).head()
-        weights, best, first, second = (np.frombuffer(row[k]).reshape(shape) for k in ("weights", "best", "first", "second"))
-        return cls(weights, first, second, best, row["step"], row["best_epoch"], list(row["losses"]))
+        rows = sorted(saved.where(F.col("epoch") == last).collect(), key=lambda r: r["piece"])
+        weights, best, first, second = (
+            np.concatenate([np.frombuffer(r[k]) for r in rows]).reshape(shape) for k in ("weights", "best", "first", "second"))
+        return cls(weights, first, second, best, rows[0]["step"], rows[0]["best_epoch"], list(rows[0]["losses"]))
 
 
 def fit_encoder(train: DataFrame, val: DataFrame | None, text: str, labels: str, buckets: int = BUCKETS, width: int = WIDTH,

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from labelmill.functions.arrays import l2_normalize as unit
 from labelmill.functions.arrays import masked_mean
 from labelmill.functions.text import code_tokens
+from labelmill.operators import contrastive as con
 from labelmill.operators import embeddings as emb
 from labelmill.operators import vectors as vec
+from labelmill.operators.models import materialise
 from labelmill.operators.splits import hash_split
 from labelmill.plans.inputs import documents, rounded
 from labelmill.plans.syntax import tfidf_sql
@@ -108,6 +110,8 @@ def embedding_projection(spark, sf):
     return rounded(emb.project_2d(rows, "embedding", F.col("label").cast("string"), text, "vec_id"), "x", "y")
 
 
+CONTRASTIVE_EPOCHS, CONTRASTIVE_STEPS = 3, 4
+
 VOWELS = "aeio"
 
 
@@ -138,12 +142,41 @@ def embed_documents(spark, sf):
     return out.select("doc_id", F.size("embedding").alias("width"), F.posexplode("embedding").alias("dim", "value"))
 
 
+def _contrastive(spark, sf):
+    """All documents with the vectors of an encoder whose positives share their language, fitted on the training documents."""
+    docs = documents(spark, sf, "doc_id", "text", "lang").withColumn("split", hash_split(F.col("doc_id")))
+    labels = F.when(F.col("lang").isNotNull(), F.array("lang")).alias("labels")
+    part = {s: docs.where(F.col("split") == s).select("text", labels) for s in ("train", "val")}
+    encoder = con.fit_encoder(part["train"], part["val"], "text", "labels", epochs=CONTRASTIVE_EPOCHS, steps=CONTRASTIVE_STEPS)
+    return con.embed_with_encoder(docs, "text", encoder)
+
+
+def contrastive_embeddings(spark, sf):
+    """Contrastively trained vectors of all documents."""
+    return _contrastive(spark, sf).select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+
+
+def contrastive_centroids(spark, sf):
+    """The language of every test document by the nearest mean vector of the training documents of a language."""
+    docs = materialise(_contrastive(spark, sf).select("doc_id", "lang", "split", "embedding"))
+    known = docs.where((F.col("split") == "train") & F.col("lang").isNotNull())
+    cells = emb.mean_pool(known, "lang", "embedding", F.lit(1))
+    means = cells.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("cells")).select(
+        "lang", unit(F.col("cells.value")).alias("mean"))
+    listed = means.agg(F.sort_array(F.collect_list(F.struct("lang", "mean")))).scalar()
+    near = F.transform("_means", lambda m: F.struct(
+        F.aggregate(F.zip_with(m["mean"], "embedding", lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y).alias("near"),
+        m["lang"].alias("lang")))
+    asked = docs.where((F.col("split") == "test") & F.col("lang").isNotNull())
+    return asked.select("doc_id", "embedding", listed.alias("_means")).select("doc_id", F.array_max(near)["lang"].alias("lang"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bow_counts, tfidf_topk, tfidf_vocabulary, feature_union, variance_filter, feature_shape, mean_pool,
         masked_sequence_mean, l2_normalize, supcon_loss, mean_batch_loss, embedding_projection, embed_texts,
-        embed_documents,
+        embed_documents, contrastive_embeddings, contrastive_centroids,
     )
 }
 

@@ -103,3 +103,11 @@ def test_empty_table_and_bound(spark, rows):
     assert encoder.weights.shape == (BUCKETS, WIDTH) and encoder.best_epoch == 0
     with pytest.raises(ValueError):
         co.fit_encoder(none, None, "text", "labels", 1 << 20, 64)
+
+
+def test_registered_query_finds_languages(spark, sf):
+    """Mean vectors of the training documents name most test documents' languages; no test text was learned from."""
+    from labelmill.plans import registry
+    got = {r["doc_id"]: r["lang"] for r in registry.queries()["contrastive_centroids"](spark, sf).collect()}
+    want = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    assert got and sum(want[k] == v for k, v in got.items()) >= 0.8 * len(got)

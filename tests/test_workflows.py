@@ -98,3 +98,6 @@ def test_embedding_model(spark, dataset, tmp_path):
     assert values(metrics)["all", "f1_micro"] > 0.6
     metrics = wf.train_embedding_model(spark, f"{dataset[0]}/samples", str(tmp_path / "b"), width=8, grid=[{"trees": 5, "depth": 3}])
     assert 0.0 <= values(metrics)["all", "f1_micro"] <= 1.0
+    metrics = wf.train_embedding_model(spark, f"{dataset[0]}/samples", str(tmp_path / "c"), width=8,
+                                       grid=[{"trees": 5, "depth": 3}], contrastive=True)
+    assert values(metrics)["all", "f1_micro"] > 0.6
