@@ -111,3 +111,11 @@ def test_registered_query_finds_languages(spark, sf):
     got = {r["doc_id"]: r["lang"] for r in registry.queries()["contrastive_centroids"](spark, sf).collect()}
     want = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
     assert got and sum(want[k] == v for k, v in got.items()) >= 0.8 * len(got)
+
+
+def test_registered_vectors_are_unit_vectors(spark, sf):
+    from labelmill.plans import registry
+    df = registry.queries()["contrastive_embeddings"](spark, sf)
+    norms = df.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("n"), F.count("*").alias("w")).collect()
+    assert len(norms) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r["w"] == co.WIDTH and (abs(r["n"] - 1.0) < 1e-5 or r["n"] == 0.0) for r in norms)

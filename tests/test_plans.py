@@ -11,7 +11,8 @@ from labelmill.session import spread
 from tests.harness import canonical
 
 QUERIES = registry.queries()
-TRAINED = {n for n in QUERIES if n.endswith("_metrics")} | {"grid_search_scores", "embed_documents", "embedding_projection"}
+TRAINED = {n for n in QUERIES if n.endswith("_metrics")} | {"grid_search_scores", "embed_documents", "embedding_projection",
+                                                                "contrastive_embeddings", "contrastive_centroids"}
 PYTHON = {"page_links", "distinct_links", "page_blocks", "page_block_filter", "page_text", "page_text_blocks", "syntax_valid", "repair_code", "strip_comments", "clean_code",
           "ast_nodes", "tree_structural_counts", "tree_path_contexts", "tree_context_text", "tfidf_paths", "tfidf_node_types", "embed_texts", "supcon_loss", "mean_batch_loss"}
 NARROW = ["hash_split", "code_tokens", "tfidf_tokens", "tf_l2_per_doc", "strip_imports", "snippet_preview",
