@@ -167,17 +167,18 @@ def train_syntax_model(spark: SparkSession, samples: str, out: str, trees: int =
 
 
 def train_embedding_model(spark: SparkSession, samples: str, out: str, load_encoder: Callable | None = None,
-                          width: int = 128, grid: Sequence[dict] | None = None, contrastive: bool = False) -> DataFrame:
+                          width: int = 128, grid: Sequence[dict] | None = None, contrastive: bool = False,
+                          encoder_folder: str | None = None) -> DataFrame:
     """Dense embeddings with one forest per label, chosen on the validation split by weighted F1.
 
     ``load_encoder`` is called once per Python worker task; without it word vectors are fitted on train, or with
-    ``contrastive`` an encoder whose positives share a label, stopped by its loss on the validation split.  Its training state is
-    kept in ``out``/encoder, where a call after an interruption goes on.
+    ``contrastive`` an encoder whose positives share a label, stopped by its loss on the validation split.  A call with
+    the ``encoder_folder`` of an interrupted training on the same samples goes on with it; None starts anew.
     """
     rows = sm.load_splits(spark, samples).withColumn("Labels", sm.clean_labels(F.col("Labels")))
     if load_encoder is None and contrastive:
         encoder = con.fit_encoder(*(rows.where(F.col("split") == s) for s in ("train", "val")), "Data", "Labels", width=width,
-                                  folder=f"{out}/encoder")
+                                  folder=encoder_folder)
         vectors = con.embed_with_encoder(rows, "Data", encoder)
     elif load_encoder is None:
         model = emb.fit_word_vectors(rows.where(F.col("split") == "train"), "Data", width)
