@@ -55,16 +55,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 SCAN_TASKS = "labelmill.scanTasks"
+TASK_ROWS = 10_000       # rows that a scan task may hold without being dealt out
+CORE_SHARES, WAVES = 1.5, 4
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan to as many tasks as the session's ``labelmill.scanTasks`` says; without that setting nothing is shuffled.
+    """A scan whose rows lie in too few tasks, dealt to all cores; any other as it is, and then nothing is shuffled.
 
-    For small tables in files of one row group, which Spark cannot split: whoever runs on such files sets it, whatever
-    the table's size.
+    Spark cannot split a row group, and it packs small files into few tasks, so a narrow table of many rows may be one task
+    whatever the cluster.  Rows are counted per task without reading a column.  A scan is dealt when its fullest task has more than
+    ``TASK_ROWS`` rows and more than ``CORE_SHARES`` cores' even share, to ``WAVES`` tasks a core, or fewer when they would
+    have less than ``TASK_ROWS`` rows.  The session's ``labelmill.scanTasks`` sets the number of tasks instead, whatever the rows.
     """
-    tasks = df.sparkSession.conf.get(SCAN_TASKS, None)
-    return df.repartition(int(tasks)) if tasks else df
+    spark = df.sparkSession
+    tasks = spark.conf.get(SCAN_TASKS, None)
+    if tasks:
+        return df.repartition(int(tasks))
+    held = df.select(F.spark_partition_id().alias("task")).groupBy("task").agg(F.count("*").alias("n"))
+    total, fullest, scans = held.agg(F.sum("n"), F.max("n"), F.max("task") + 1).head()
+    cores = spark.sparkContext.defaultParallelism
+    if not total or fullest <= TASK_ROWS or fullest * cores <= CORE_SHARES * total:
+        return df
+    return df.repartition(min(-(-total // TASK_ROWS), max(scans, WAVES * cores)))
 
 
 def values(spark: SparkSession, items: Iterable[str], name: str) -> DataFrame:
