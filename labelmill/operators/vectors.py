@@ -1,8 +1,8 @@
 """Bag-of-words, TF-IDF and feature blocks as long tables (doc, term, value).
 
-The vocabulary is a table and is joined without a hint.  A capped vocabulary (``max_features``) has
-a row bound that Spark's own size estimate sees, so it is broadcast; an uncapped one is shuffled when
-it is large, and a hot term is then split by the adaptive skew join.
+An uncapped vocabulary is a table that is joined without a hint: it is shuffled when it is large, and a hot term is then split
+by the adaptive skew join.  A vocabulary of at most ``BROADCAST_TERMS`` terms is marked for broadcast: Spark's estimate knows neither
+the cap nor how many terms a row explodes into, and would rather send all counts of a narrow table through the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from labelmill.functions.arrays import term_counts
 
+BROADCAST_TERMS = 100_000  # a vocabulary with no larger cap is broadcast
+
 
 def count_terms(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
     """(doc, term, cnt); counted inside each document row, so nothing is shuffled."""
@@ -71,11 +73,15 @@ def transform_tfidf(counts: DataFrame, idf: DataFrame, doc: str) -> DataFrame:
     return raw.select(doc, "term", (F.col("_w") / norm).alias("weight"))
 
 
-def tfidf(docs: DataFrame, doc: str, tokens: Column, max_features: int | None, min_df: int) -> DataFrame:
+def tfidf(docs: DataFrame, doc: str, tokens: Column, max_features: int | None, min_df: int,
+          n_docs: Column | None = None) -> DataFrame:
     """Fit and transform on the same documents; documents without tokens count in n.  Texts are not shuffled, only
-    the (document, term, weight) rows of the vocabulary are, for the norm."""
-    n_docs = docs.agg(F.count("*")).scalar()
+    the (document, term, weight) rows of the vocabulary are, for the norm.  ``n_docs`` is for documents whose number is known more
+    cheaply than by making them."""
+    n_docs = docs.agg(F.count("*")).scalar() if n_docs is None else n_docs
     idf = fit_tfidf(count_terms(docs, doc, tokens), n_docs, max_features, min_df)
+    if max_features is not None and max_features <= BROADCAST_TERMS:
+        idf = F.broadcast(idf)
     return transform_tfidf(count_terms(docs, doc, tokens), idf, doc)
 
 

@@ -51,7 +51,8 @@ def tree_context_text(spark, sf):
 
 def _tree_tfidf(spark, sf, tokens):
     rows = _trees(spark, sf).select("p_partkey", tokens(F.col("tree")).alias("tokens"))
-    return rounded(vec.tfidf(rows, "p_partkey", F.col("tokens"), 7500, 2), "weight")
+    n_docs = part_code(spark, sf).agg(F.count("*")).scalar()  # a tree per snippet, so none is parsed to be counted
+    return rounded(vec.tfidf(rows, "p_partkey", F.col("tokens"), 7500, 2, n_docs), "weight")
 
 
 def tfidf_paths(spark, sf):

@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelmill import session as ss
+from labelmill.functions.text import space_tokens
+from labelmill.operators import vectors as vec
 from labelmill.plans import registry
+from tests.test_plans import plan
 
 QUERIES = registry.queries()
 
@@ -33,3 +36,15 @@ def test_a_scan_that_is_spread_already_is_not_shuffled(spark):
 @pytest.mark.parametrize("name", ["ast_nodes", "tree_structural_counts", "tree_path_contexts", "tree_context_text"])
 def test_syntax_trees_are_made_by_more_than_one_task(spark, wide, name):
     assert QUERIES[name](spark, wide).rdd.getNumPartitions() == 6
+
+
+@pytest.mark.parametrize("name", ["tfidf_paths", "tfidf_node_types"])
+def test_the_vocabulary_is_broadcast_and_not_the_counts(spark, wide, name):
+    text = plan(QUERIES[name](spark, wide))
+    assert "Inner, BuildRight" in text and "Inner, BuildLeft" not in text
+
+
+def test_documents_without_terms_count_when_their_number_is_given(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a a"), (3, "b c"), (4, None), (5, "")], "id int, text string")
+    tokens = space_tokens(F.col("text"))
+    assert sorted(vec.tfidf(docs, "id", tokens, 3, 2).collect()) == sorted(vec.tfidf(docs, "id", tokens, 3, 2, F.lit(5)).collect())
