@@ -133,7 +133,8 @@ def logistic(c: float = BOW_C, max_iter: int = BOW_ITERATIONS) -> Logistic:
 def forest(trees: int, depth: int | None = None, min_split: int = 2, min_leaf: int = 1, balanced: bool = False,
            seed: int = SEED) -> Build:
     """Random forest with sqrt features.  Spark has no minimum to split a node, so half of it is asked
-    of each child; an open depth is Spark's largest, and a larger one is an error."""
+    of each child; an open depth is Spark's largest, and a larger one is an error.  The nodes that rows have reached are kept
+    between the passes, so a pass does not take every row down every tree again; the trees are the same."""
     if depth is not None and depth > SPARK_MAX_DEPTH:
         raise ValueError(f"a forest's depth is at most {SPARK_MAX_DEPTH}, not {depth}")
 
@@ -141,7 +142,8 @@ def forest(trees: int, depth: int | None = None, min_split: int = 2, min_leaf: i
         extra = {"weightCol": "_w"} if balanced else {}
         return RandomForestClassifier(
             featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=depth or SPARK_MAX_DEPTH,
-            minInstancesPerNode=max(min_leaf, min_split // 2), featureSubsetStrategy="sqrt", seed=seed, **extra,
+            minInstancesPerNode=max(min_leaf, min_split // 2), featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True,
+            **extra,
         )
 
     return build

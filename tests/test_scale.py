@@ -1,10 +1,12 @@
 """Narrow tables of many rows: work on all cores, and nothing whole through the driver."""
 
 import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 
 from labelmill import session as ss
 from labelmill.functions.text import space_tokens
+from labelmill.operators import models as md
 from labelmill.operators import vectors as vec
 from labelmill.plans import registry
 from tests.test_plans import plan
@@ -48,3 +50,12 @@ def test_documents_without_terms_count_when_their_number_is_given(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a a"), (3, "b c"), (4, None), (5, "")], "id int, text string")
     tokens = space_tokens(F.col("text"))
     assert sorted(vec.tfidf(docs, "id", tokens, 3, 2).collect()) == sorted(vec.tfidf(docs, "id", tokens, 3, 2, F.lit(5)).collect())
+
+
+def test_forests_keep_node_ids_and_grow_the_same_trees(spark):
+    vector = F.udf(lambda i: Vectors.dense([float(i % 7), float(i * i % 11), float(i % 3)]), VectorUDT())
+    rows = spark.range(400, numPartitions=3).select(vector("id").alias("features"), (F.col("id") % 5 < 2).cast("double").alias("_y"))
+    build = md.forest(4, 6)(400, 160)
+    assert build.getCacheNodeIds()
+    plain = build.copy().setCacheNodeIds(False)
+    assert build.fit(rows).toDebugString.split("\n")[1:] == plain.fit(rows).toDebugString.split("\n")[1:]
