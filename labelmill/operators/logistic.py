@@ -82,7 +82,8 @@ def sparse_parts(features: Column) -> list[Column]:
 
 def pack(rows: DataFrame, width: int) -> DataFrame:
     """Blocks of ``rows(slots, values, labels array<boolean>, fold)``, kept in the shared checkpoint folder.  A row gets one more entry,
-    1 at the place ``width``, for the intercept."""
+    1 at the place ``width``, for the intercept.  They lie in as many partitions as there are cores at most: every task of a pass sends a
+    gradient, so what a pass shuffles does not grow with the rows."""
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, entries = [], 0
         for batch in batches:
@@ -96,7 +97,7 @@ def pack(rows: DataFrame, width: int) -> DataFrame:
             yield _block(held, width)
 
     ensure_checkpoint_dir(rows.sparkSession)
-    return rows.mapInPandas(build, _BLOCK).checkpoint()
+    return rows.mapInPandas(build, _BLOCK).checkpoint().coalesce(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def _block(rows: list[tuple], width: int) -> pd.DataFrame:
@@ -131,13 +132,14 @@ class Block:
 
     def margins(self, coefficients: np.ndarray) -> np.ndarray:
         """[row, model] products with the rows of ``coefficients[slot, model]``."""
-        part = coefficients[self.slots]
-        return np.add.reduceat(part[self.by_row] * self.row_values[:, None], self.row_starts, axis=0)
+        part = np.ascontiguousarray(coefficients[self.slots].T)  # sums over neighbouring numbers, model by model
+        return np.stack([np.add.reduceat(c[self.by_row] * self.row_values, self.row_starts) for c in part], axis=1)
 
     def by_slots(self, weights: np.ndarray, power: int = 1) -> np.ndarray:
         """[own slot, model] sums over the rows of their ``weights[row, model]`` times a power of the values."""
         values = self.slot_values ** power if power != 1 else self.slot_values
-        return np.add.reduceat(weights[self.by_slot] * values[:, None], self.slot_starts, axis=0)
+        part = np.ascontiguousarray(weights.T)
+        return np.stack([np.add.reduceat(w[self.by_slot] * values, self.slot_starts) for w in part], axis=1)
 
 
 def used_slots(blocks: DataFrame) -> np.ndarray:

@@ -1,11 +1,13 @@
 """Narrow tables of many rows: work on all cores, and nothing whole through the driver."""
 
+import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 
 from labelmill import session as ss
 from labelmill.functions.text import space_tokens
+from labelmill.operators import logistic as lg
 from labelmill.operators import models as md
 from labelmill.operators import vectors as vec
 from labelmill.plans import registry
@@ -59,3 +61,23 @@ def test_forests_keep_node_ids_and_grow_the_same_trees(spark):
     assert build.getCacheNodeIds()
     plain = build.copy().setCacheNodeIds(False)
     assert build.fit(rows).toDebugString.split("\n")[1:] == plain.fit(rows).toDebugString.split("\n")[1:]
+
+
+def test_a_logistic_pass_has_a_task_per_core_at_most(spark):
+    cores = spark.sparkContext.defaultParallelism
+    i = F.col("id").cast("int")
+    rows = spark.range(500, numPartitions=5 * cores).select(
+        F.array(i % 7, 7 + i % 5).alias("slots"), F.array(F.lit(1.0), i / 100.0).alias("values"),
+        F.array(i % 2 == 0, i % 3 == 0).alias("labels"), F.lit(-2).alias("fold"))
+    blocks = lg.pack(rows, 12)
+    assert blocks.rdd.getNumPartitions() <= cores
+    dense, truth = np.zeros((500, 13)), np.zeros((500, 2), bool)
+    for n, r in enumerate(rows.collect()):
+        dense[n, r["slots"]], dense[n, 12], truth[n] = r["values"], 1.0, r["labels"]
+    used = lg.used_slots(blocks)
+    points = np.random.default_rng(1).normal(size=(len(used), 3))
+    label = np.array([0, 1, 1])
+    loss, gradient = lg.evaluate(blocks, used, points, label, np.full(3, -1))
+    margin, y = dense[:, used] @ points, truth[:, label]
+    assert np.allclose(loss, np.logaddexp(0.0, np.where(y, -margin, margin)).sum(axis=0))
+    assert np.allclose(gradient, dense[:, used].T @ (1 / (1 + np.exp(-margin)) - y))
