@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,17 +81,36 @@ def token_ngrams(tokens: Column, n: int = 3) -> Column:
     )
 
 
-def ngram_strings(tokens: Column, n: int = 3, sep: str = " ") -> Column:
-    """The n-grams as joined strings, for counting."""
+def _each_ngram(tokens: Column, n: int, body: Callable[[list[Column]], Column]) -> Column:
+    """``body`` of the tokens of every contiguous n-tuple."""
     return let(
         tokens,
         lambda t: F.transform(
             F.slice(t, F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(0))),
-            lambda x, i: F.concat_ws(sep, x, *[F.get(t, i + k) for k in range(1, n)]),
+            lambda x, i: body([x, *[F.get(t, i + k) for k in range(1, n)]]),
         ),
     )
 
 
+def ngram_strings(tokens: Column, n: int = 3, sep: str = " ") -> Column:
+    """The n-grams as joined strings, for counting."""
+    return _each_ngram(tokens, n, lambda parts: F.concat_ws(sep, *parts))
+
+
+def ngram_buckets(tokens: Column, group: Column, buckets: int, n: int = 3) -> Column:
+    """The hash bucket of every n-gram within ``group``."""
+    return _each_ngram(tokens, n, lambda parts: F.pmod(F.xxhash64(group, *parts), F.lit(buckets)).cast("int"))
+
+
+def ngrams_in_buckets(tokens: Column, group: Column, buckets: int, wanted: list[int], n: int = 3, sep: str = " ") -> Column:
+    """The n-grams of the ``wanted`` buckets as joined strings; others are never built."""
+    def kept(parts: list[Column]) -> Column:
+        bucket = F.pmod(F.xxhash64(group, *parts), F.lit(buckets)).cast("int")
+        return F.when(bucket.isin(wanted), F.concat_ws(sep, *parts))
+
+    return F.array_compact(_each_ngram(tokens, n, kept))
+
+
 def doc_tf_l2(tokens: Column) -> Column:
     """Single-document TF-IDF: idf is 1, so the weights are L2-normalised counts.
     Returns array<struct<term,weight>>, empty when there are no tokens."""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelmill.functions import text as tx
 from labelmill.operators.cleaning import keep_nonblank
+from labelmill.operators.grams import top_ngrams
 from labelmill.plans.inputs import documents, rounded
 
 
@@ -52,14 +52,8 @@ def ngram_lists(spark, sf):
 
 
 def token_ngrams(spark, sf, k: int = 10):
-    """The k most frequent trigrams per language.  Counts combine map-side; each task then keeps its
-    k best per language before the ranking shuffle."""
-    grams = documents(spark, sf, "lang", "text").select(
-        "lang", F.explode(tx.ngram_strings(tx.space_tokens(F.col("text")))).alias("gram")
-    )
-    counts = grams.groupBy("lang", "gram").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The k most frequent trigrams per language."""
+    return top_ngrams(documents(spark, sf, "lang", "text"), "lang", tx.space_tokens(F.col("text")), k)
 
 
 def tf_l2_per_doc(spark, sf):

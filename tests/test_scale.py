@@ -6,7 +6,8 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 
 from labelmill import session as ss
-from labelmill.functions.text import space_tokens
+from labelmill.functions.text import ngram_strings, space_tokens
+from labelmill.operators import grams as gr
 from labelmill.operators import logistic as lg
 from labelmill.operators import models as md
 from labelmill.operators import vectors as vec
@@ -81,3 +82,19 @@ def test_a_logistic_pass_has_a_task_per_core_at_most(spark):
     margin, y = dense[:, used] @ points, truth[:, label]
     assert np.allclose(loss, np.logaddexp(0.0, np.where(y, -margin, margin)).sum(axis=0))
     assert np.allclose(gradient, dense[:, used].T @ (1 / (1 + np.exp(-margin)) - y))
+
+
+def test_top_ngrams_hold_no_row_per_different_ngram(spark, tmp_path):
+    """Heavy n-grams in a sea of rare ones: the counted buckets are few, and ties at the cut and null groups stay right."""
+    common = F.when(F.col("id") % 2 == 0, F.lit("a b c d")).otherwise(F.lit("b c d"))
+    texts = spark.range(3000, numPartitions=4).select(
+        F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("lang"),
+        F.concat_ws(" ", common, F.col("id").cast("string"), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    texts = texts.union(spark.createDataFrame([("few", "x y z"), ("few", None)], "lang string, text string"))
+    tokens = space_tokens(F.col("text"))
+    want = gr._ranked(gr._counts(texts, "lang", ngram_strings(tokens)), "lang", 2).collect()
+    assert len(want) == 7
+    for buckets, listed in ((gr.BUCKETS, gr.LISTED), (7, 2), (7, 100), (500, 40)):
+        got = gr.top_ngrams(texts, "lang", tokens, 2, buckets=buckets, listed=listed)
+        assert sorted(got.collect(), key=str) == sorted(want, key=str)
+    assert "concat_ws" not in plan(gr.top_ngrams(texts, "lang", tokens, 2))
