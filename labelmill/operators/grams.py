@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import ngram_buckets, ngram_strings, ngrams_in_buckets
-from labelmill.operators.models import materialise
+from labelmill.session import materialise
 
 BUCKETS = 1 << 16    # per group; what a task holds does not grow with the number of different n-grams
 PROBES = 4           # fullest buckets counted first, per n-gram asked for

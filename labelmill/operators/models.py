@@ -29,7 +29,7 @@ from labelmill.functions.hashing import hash_bucket
 from labelmill.operators import evaluate as ev
 from labelmill.operators import vectors as vec
 from labelmill.operators.logistic import LinearModel, Logistic, Spec, fit_all, fold_probabilities, pack, probabilities, sparse_parts
-from labelmill.session import ensure_checkpoint_dir, values
+from labelmill.session import materialise, values
 
 BAG_WIDTH = 1 << 18     # hashed tokens of a logistic model
 FOREST_WIDTH = 1 << 10  # hashed tokens of a forest, which bins every column of every row
@@ -94,12 +94,6 @@ def with_variance_selection(pipeline: PipelineModel, rows: DataFrame, column: st
     return PipelineModel([*pipeline.stages, VectorSlicer(inputCol=column, outputCol=output, indices=indices)])
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and cut the lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 # ---- labels ----------------------------------------------------------------------------------
 
 def trainable_labels(df: DataFrame, labels: str, classes: Sequence[str], min_positives: int = 2) -> DataFrame:

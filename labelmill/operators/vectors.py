@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.functions.arrays import term_counts
+from labelmill.session import materialise
 
 BROADCAST_TERMS = 100_000  # a vocabulary with no larger cap is broadcast
 
@@ -38,11 +39,13 @@ def top_terms(counts: DataFrame, max_features: int | None, min_df: int) -> DataF
     count, ties by term; None keeps all.
 
     How many terms have each total gives the total at rank ``max_features``: terms above it stay by a filter, and only
-    the terms that have just that total are ordered.  No task sorts the vocabulary.
+    the terms that have just that total are ordered.  No task sorts the vocabulary, and its rows are stored, so that the
+    documents are counted once for all three uses.
     """
     terms = fit_vocabulary(counts).where(F.col("df") >= min_df)
     if max_features is None:
         return terms
+    terms = materialise(terms)
     held = terms.groupBy("total").agg(F.count("*").alias("n"))  # a row per different total
     above = F.sum("n").over(Window.orderBy(F.desc("total"))) - F.col("n")
     cut = held.select("total", above.alias("above")).where(F.col("above") < max_features).agg(

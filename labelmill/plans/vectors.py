@@ -10,12 +10,11 @@ from labelmill.functions.text import code_tokens
 from labelmill.operators import contrastive as con
 from labelmill.operators import embeddings as emb
 from labelmill.operators import vectors as vec
-from labelmill.operators.models import materialise
 from labelmill.operators.splits import hash_split
 from labelmill.plans.inputs import documents, rounded
 from labelmill.plans.syntax import tfidf_sql
 from labelmill.plans.texts import CODE_SQL
-from labelmill.session import spread, table
+from labelmill.session import materialise, spread, table
 
 
 def bow_counts(spark, sf):

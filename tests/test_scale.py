@@ -98,3 +98,10 @@ def test_top_ngrams_hold_no_row_per_different_ngram(spark, tmp_path):
         got = gr.top_ngrams(texts, "lang", tokens, 2, buckets=buckets, listed=listed)
         assert sorted(got.collect(), key=str) == sorted(want, key=str)
     assert "concat_ws" not in plan(gr.top_ngrams(texts, "lang", tokens, 2))
+
+
+def test_a_capped_vocabulary_counts_the_documents_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a a c"), (3, "b c"), (4, None)], "id int, text string")
+    fitted = vec.fit_tfidf(vec.count_terms(docs, "id", space_tokens(F.col("text"))), F.lit(4), 2, 2)
+    assert "sort_array" not in plan(fitted)
+    assert {r["term"] for r in fitted.collect()} == {"a", "b"}
