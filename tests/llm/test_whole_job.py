@@ -141,3 +141,27 @@ def test_a_long_secret_is_redacted_to_its_end(spark):
     docs = spark.createDataFrame([(1, "password=" + "q7" * 120 + " end"), (2, "token=abc no")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
     assert "q7" not in got[1] and got[1].endswith(" end") and got[2] == "token=abc no"
+
+
+def test_counting_touches_only_the_slots_of_the_text(monkeypatch):
+    """The counts of a dense table, from a pass that never adds up whole tables."""
+    s = mixlm.stream([b"the cat and the cat", b"the end", b""])
+    node, bit = mixlm._node_bit(s.data)
+    want = np.zeros((mixlm.SLOTS, 2), np.int64)
+    for k in range(mixlm.ORDERS):
+        slots = s.slots(k, slice(0, len(s.data)), mixlm._hashed(node))
+        # The hash of each predictor, context and node by plain numbers.
+        for i in range(len(s.data)):
+            for j in range(8):
+                mixed = (int(s.context[k, i]) * 0x9E3779B97F4A7C15 + int(node[i, j])) * 0xD6E8FEB86659FD93 % (1 << 64)
+                assert slots[i, j] == mixlm.OFFSETS[k] + (mixed >> (64 - mixlm.ORDER_BITS[k]))
+        np.add.at(want, (slots.ravel(), bit.ravel()), 1)
+    monkeypatch.setattr(mixlm, "_training", lambda frames, tune: [s])
+    monkeypatch.setattr(mixlm.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})()))
+    monkeypatch.setattr(mixlm.np, "bincount", None)
+    got = np.zeros((mixlm.SLOTS, 2), np.int64)
+    for frame in mixlm.count_bits(iter(()), False):
+        at = frame["block"][0] * mixlm.BLOCK
+        block = mixlm._counts(frame["counts"][0]).T
+        got[at:at + len(block)] = block
+    assert (got == want).all()
