@@ -116,3 +116,9 @@ def test_uncapped_vocabulary_is_not_forced_to_broadcast(spark, sf):
         assert "SortMergeJoin" in plan(vec.apply_vocabulary(counts, vec.fit_vocabulary(counts)))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name, step", [("embed_documents", "regexp_extract_all("), ("embed_texts", "ArrowEvalPython "),
+                                        ("contrastive_embeddings", "ArrowEvalPython ")])
+def test_vectors_are_computed_once_a_document(spark, sf, name, step):
+    assert plan(QUERIES[name](spark, sf)).count(step) == 1
