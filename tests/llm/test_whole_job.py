@@ -165,3 +165,48 @@ def test_counting_touches_only_the_slots_of_the_text(monkeypatch):
         block = mixlm._counts(frame["counts"][0]).T
         got[at:at + len(block)] = block
     assert (got == want).all()
+
+
+def test_repeated_contexts_are_looked_up_once(monkeypatch):
+    """The coded words are those of all inputs of all bytes; only word order is looked up for each byte."""
+    rng = np.random.default_rng(3)
+    table = mixlm.packed_table(*rng.integers(0, 40, (2, mixlm.SLOTS)).astype(np.float32))
+    mixer = mixlm.Mixer(rng.normal(0.3, 0.1, mixlm.CELLS).astype(np.float32))
+    split = [[*t.split(), b""] for t in [b"the cat and the cat sat " * 30, b"", b"one cat \xc3\xa9t\xc3\xa9 sat " * 9]]
+    s = mixlm.stream([b" ".join(words) for words in split])
+    every = slice(0, len(s.data))
+    gate, node, bit, logits, kinds = mixlm.inputs(s, mixlm.counts_so_far(s), every, table)
+    p = mixer.refined(mixer.logits(gate, logits, kinds)[0], node)
+    logs = np.log(np.where(bit, p, 1 - p)).reshape(-1, 8).sum(axis=1)
+    read, slots = {}, mixlm.Stream.slots
+
+    def counted(self, k, part, node):
+        read[k] = read.get(k, 0) + len(node)
+        return slots(self, k, part, node)
+
+    monkeypatch.setattr(mixlm.Stream, "slots", counted)
+    got = mixlm.score_words(split, table, mixer)
+    assert got == pytest.approx(np.add.reduceat(logs, np.flatnonzero(s.place == 0)), rel=1e-4)
+    assert read.pop(mixlm.WORD_ORDER) == len(s.data)
+    assert set(read) == set(range(mixlm.ORDERS)) - {mixlm.WORD_ORDER} and max(read.values()) < len(s.data) / 10
+
+
+def test_distinct_bytes_have_the_same_contexts():
+    s = mixlm.stream([b"the cat and the cat sat", b"the cat", b"", b"cat and"])
+    first, times, which = mixlm.distinct(s)
+    own = [k for k in range(mixlm.ORDERS) if k != mixlm.WORD_ORDER]
+    told = [(*s.context[own, i], s.data[i], min(s.place[i], mixlm.PLACES - 1)) for i in range(len(s.data))]
+    assert len(first) == len(set(told)) and [told[i] for i in first[which]] == told
+    assert times.tolist() == [told.count(told[i]) for i in first]
+
+
+def test_counts_of_groups_of_one_value_and_of_several():
+    rng = np.random.default_rng(5)
+    s = mixlm.stream([b" ".join(bytes(rng.choice(list(b"ab"), 3)) + b"q" for _ in range(40)), b"same same same"])
+    n0, n1 = mixlm.counts_so_far(s)
+    seen = {}
+    for i, (key, byte) in enumerate(zip(s.key, s.data.tolist())):
+        for j in range(8):
+            counts = seen.setdefault((key, (byte | 256) >> (8 - j)), [0, 0])
+            assert [n0[i, j], n1[i, j]] == counts
+            counts[byte >> (7 - j) & 1] += 1
