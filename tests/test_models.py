@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from labelmill.functions.text import space_tokens
 from labelmill.operators import models as md
+from labelmill.operators.splits import hash_split
+from labelmill.plans import training
+from labelmill.session import table
 from labelmill.sources import sinks
 
 CLASSES = ["left", "right", "always", "never", "once"]
@@ -90,3 +93,22 @@ def test_feature_pipeline_round_trip(spark, tmp_path):
     loaded, terms = sinks.load_model(spark, str(tmp_path / "m"))
     assert [r["features"].toArray().tolist() for r in loaded.transform(docs).orderBy("id").collect()] == rows
     assert terms.count() == 3
+
+
+def fitted_rows(monkeypatch, query, spark, sf) -> set:
+    """The numbers of rows that the query's forests are told of, when 50 rows would be taken for a sample."""
+    seen, forest = set(), md.forest
+
+    def small(*args, **kwargs):
+        build = forest(2, 3)
+        return lambda n, positives: seen.add(n) or build(n, positives)
+
+    monkeypatch.setattr(md, "forest", small)
+    monkeypatch.setattr(md, "FIT_ROWS", 50, raising=False)
+    query(spark, sf).collect()
+    return seen
+
+
+def test_syntax_forests_are_fitted_on_all_training_rows(spark, sf, monkeypatch):
+    rows = table(spark, sf, "part").where(hash_split(F.col("p_partkey")) == "train").count()
+    assert rows > 100 and fitted_rows(monkeypatch, training.per_label_forest_metrics, spark, sf) == {rows}
