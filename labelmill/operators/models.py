@@ -33,7 +33,6 @@ from labelmill.session import materialise, values
 
 BAG_WIDTH = 1 << 18     # hashed tokens of a logistic model
 FOREST_WIDTH = 1 << 10  # hashed tokens of a forest, which bins every column of every row
-FIT_ROWS = 1_000_000    # labelled rows that a forest is fitted on, about; scoring takes all rows
 
 # Model settings.
 BOW_C, BOW_ITERATIONS = 10.0, 200
@@ -214,8 +213,8 @@ def fit_labels(train: DataFrame, labels: str, classes: Sequence[str], build: Bui
                parallelism: int = 4, max_rows: int | None = None) -> LabelModels:
     """Fit one binary model per class on ``train(features, labels)``.
 
-    ``max_rows`` bounds the rows that a forest is fitted on, and so its size: about so many, chosen by a hash of features and
-    labels, whatever the partitions.  Logistic models take all rows: their size does not grow.
+    All rows are fitted on.  ``max_rows`` refuses a forest, whose size grows with its rows, on more rows than that; logistic models
+    do not grow.
 
     A class with too few positives is skipped (probability 0); one that every row has is constant 1.
     """
@@ -223,8 +222,7 @@ def fit_labels(train: DataFrame, labels: str, classes: Sequence[str], build: Bui
         return fit_logistic(train, labels, classes, [build], min_positives)[-1][0]
     n, positives = count_positives(train, labels, classes)
     if max_rows is not None and n > max_rows:
-        train = train.where(F.pmod(F.xxhash64(F.col("features").cast("string"), F.col(labels).cast("string"), F.lit(SEED)), F.lit(n)) < max_rows)
-        n, positives = count_positives(train, labels, classes)
+        raise ValueError(f"a forest on {n} rows, {max_rows} allowed")
     fitted = LabelModels(list(classes))
     todo = []
     for c in classes:
@@ -317,7 +315,7 @@ LOGISTIC_GRID = {"c": [0.1, 1.0, 10.0], "max_iter": [100, 200]}
 
 
 def grid_search(train: DataFrame, key: str, labels: str, classes: Sequence[str], make: Callable[..., Build],
-                grid: Sequence[dict], folds: int = 3, seed: int = SEED, metric: str = "f1_macro", max_rows: int | None = None,
+                grid: Sequence[dict], folds: int = 3, seed: int = SEED, metric: str = "f1_macro",
                 refit: bool = True) -> tuple[dict, list[tuple[int, int, dict, float]], LabelModels | None]:
     """(best parameters, scores, model refitted on all of ``train`` unless ``refit`` is false).
 
@@ -332,14 +330,14 @@ def grid_search(train: DataFrame, key: str, labels: str, classes: Sequence[str],
     else:
         scores = {}
         for (g, build), k in product(enumerate(builds), range(folds)):
-            fitted = fit_labels(df.where(F.col("_fold") != k), labels, classes, build, max_rows=max_rows)
+            fitted = fit_labels(df.where(F.col("_fold") != k), labels, classes, build)
             held = fitted.predict(df.where(F.col("_fold") == k))
             row = ev.metrics_wide(ev.evaluation_summary(held, classes, labels, "y_pred")).head()
             scores[g, k] = 0.0 if row is None else float(row[metric])
     listed = [(g, k, grid[g], scores.get((g, k), 0.0)) for g in range(len(grid)) for k in range(folds)]
     means = [sum(s for g, _, _, s in listed if g == i) / folds for i in range(len(grid))]
     best = max(range(len(grid)), key=lambda i: (means[i], -i))
-    return grid[best], listed, fit_labels(train, labels, classes, builds[best], max_rows=max_rows) if refit else None
+    return grid[best], listed, fit_labels(train, labels, classes, builds[best]) if refit else None
 
 
 def _logistic_scores(df: DataFrame, labels: str, classes: Sequence[str], settings: Sequence[Logistic], folds: int,
@@ -364,11 +362,11 @@ def _logistic_scores(df: DataFrame, labels: str, classes: Sequence[str], setting
 
 def best_on_validation(train: DataFrame, val: DataFrame, labels: str, classes: Sequence[str],
                        make: Callable[..., Build], grid: Sequence[dict], metric: str = "f1_weighted",
-                       max_rows: int | None = None) -> tuple[dict, float, LabelModels | None]:
+                       ) -> tuple[dict, float, LabelModels | None]:
     """The grid point with the highest validation metric; it must be above 0 to be chosen."""
     best: tuple[dict, float, LabelModels | None] = ({}, 0.0, None)
     for params in grid:
-        fitted = fit_labels(train, labels, classes, make(**params), max_rows=max_rows)
+        fitted = fit_labels(train, labels, classes, make(**params))
         row = ev.metrics_wide(ev.evaluation_summary(fitted.predict(val), classes, labels, "y_pred")).head()
         score = 0.0 if row is None else float(row[metric])
         if score > best[1]:

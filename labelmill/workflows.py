@@ -121,7 +121,7 @@ def train_bag_model(spark: SparkSession, samples: str, out: str, kind: str = "bo
     make = md.logistic if kind == "bow" else md.forest
     if grid is None:
         grid = [{"c": md.BOW_C, "max_iter": md.BOW_ITERATIONS}] if kind == "bow" else [{"trees": md.NGRAM_TREES}]
-    best, scores, fitted = md.grid_search(train, "doc", "Labels", classes, make, grid, max_rows=md.FIT_ROWS)
+    best, scores, fitted = md.grid_search(train, "doc", "Labels", classes, make, grid)
     _save_search(spark, best, scores, out)
     sinks.save_model(md.feature_pipeline([stage], ["features"], "assembled"), None, f"{out}/features")
     return _finish(spark, fitted, {"test": fitted.predict(test)}, classes, out)
@@ -160,7 +160,7 @@ def train_syntax_model(spark: SparkSession, samples: str, out: str, trees: int =
     if part["val"].isEmpty():
         part["train"], part["val"] = sp.fallback_val_split(part["train"], "doc")
     build = md.forest(trees, md.SYNTAX_DEPTH, md.SYNTAX_MIN_SPLIT, balanced=True)
-    fitted = md.fit_labels(part["train"], "Labels", classes, build, min_positives=2, max_rows=md.FIT_ROWS)
+    fitted = md.fit_labels(part["train"], "Labels", classes, build, min_positives=2)
     sinks.save_model(features, None, f"{out}/features")
     scored = {s: fitted.predict(part[s], md.SYNTAX_THRESHOLD) for s in ("test", "val")}
     return _finish(spark, fitted, scored, classes, out)
@@ -192,8 +192,7 @@ def train_embedding_model(spark: SparkSession, samples: str, out: str, load_enco
     part = {s: featured.where(F.col("split") == s) for s in sm.SPLITS}
     if grid is None:
         grid = [{"trees": md.EMBEDDING_TREES, "depth": md.EMBEDDING_DEPTH, "min_split": md.EMBEDDING_MIN_SPLIT}]
-    best, score, fitted = md.best_on_validation(part["train"], part["val"], "Labels", classes, md.forest, grid,
-                                             max_rows=md.FIT_ROWS)
+    best, score, fitted = md.best_on_validation(part["train"], part["val"], "Labels", classes, md.forest, grid)
     _save_search(spark, best, [(0, 0, best, score)], out)
     fitted = fitted or md.LabelModels(classes)
     return _finish(spark, fitted, {"test": fitted.predict(part["test"])}, classes, out)

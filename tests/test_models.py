@@ -112,3 +112,13 @@ def fitted_rows(monkeypatch, query, spark, sf) -> set:
 def test_syntax_forests_are_fitted_on_all_training_rows(spark, sf, monkeypatch):
     rows = table(spark, sf, "part").where(hash_split(F.col("p_partkey")) == "train").count()
     assert rows > 100 and fitted_rows(monkeypatch, training.per_label_forest_metrics, spark, sf) == {rows}
+
+
+def test_ngram_forests_are_fitted_on_all_training_rows(spark, sf, monkeypatch):
+    rows = table(spark, sf, "labels").where(hash_split(F.col("doc_id")) == "train").join(table(spark, sf, "documents"), "doc_id").count()
+    assert rows > 55 and fitted_rows(monkeypatch, training.ngram_forest_metrics, spark, sf) == {rows}
+
+
+def test_a_forest_beyond_its_rows_is_refused_and_not_fitted_on_a_part(train):
+    with pytest.raises(ValueError):
+        md.fit_labels(train, "y_true", CLASSES[:2], md.forest(2, 3), max_rows=60)
