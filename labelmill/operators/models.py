@@ -2,8 +2,9 @@
 
 One binary model per label.  Features are built once, checkpointed to the shared folder and read by
 every fit, so neither a lost executor nor another label repeats the feature work.  Logistic models of all labels, grid
-points and folds are fitted in the same passes (``logistic``); forests are Spark ML's, those of different
-labels overlap through a small thread pool, and each fit is itself distributed.
+points and folds are fitted in the same passes (``logistic``); so are the trees of all labels in forests of open depth
+(``forests``).  Forests of bounded depth are Spark ML's, those of different labels overlap through a small thread pool, and each fit is
+itself distributed.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from labelmill.functions.arrays import let, string_array
 from labelmill.functions.hashing import hash_bucket
 from labelmill.operators import evaluate as ev
+from labelmill.operators import forests as fo
 from labelmill.operators import vectors as vec
 from labelmill.operators.logistic import LinearModel, Logistic, Spec, fit_all, fold_probabilities, pack, probabilities, sparse_parts
 from labelmill.session import materialise, values
@@ -115,7 +117,7 @@ def count_positives(df: DataFrame, labels: str, classes: Sequence[str]) -> tuple
 
 # ---- fitting ---------------------------------------------------------------------------------
 
-Build = Callable[[int, int], Estimator] | Logistic
+Build = Callable[[int, int], Estimator] | Logistic | fo.DeepForest
 
 
 def logistic(c: float = BOW_C, max_iter: int = BOW_ITERATIONS) -> Logistic:
@@ -126,15 +128,18 @@ def logistic(c: float = BOW_C, max_iter: int = BOW_ITERATIONS) -> Logistic:
 def forest(trees: int, depth: int | None = None, min_split: int = 2, min_leaf: int = 1, balanced: bool = False,
            seed: int = SEED) -> Build:
     """Random forest with sqrt features.  Spark has no minimum to split a node, so half of it is asked
-    of each child; an open depth is Spark's largest, and a larger one is an error.  The nodes that rows have reached are kept
-    between the passes, so a pass does not take every row down every tree again; the trees are the same."""
-    if depth is not None and depth > SPARK_MAX_DEPTH:
+    of each child; an open depth is Spark's largest, and a larger one is an error.  A forest of open depth has nodes in proportion to
+    its rows and is a ``DeepForest``, since Spark ML keeps all nodes in the driver; another one is Spark ML's.  There the nodes that rows
+    have reached are kept between the passes, so a pass does not take every row down every tree again; the trees are the same."""
+    if depth is None:
+        return fo.DeepForest(trees, SPARK_MAX_DEPTH, max(min_leaf, min_split // 2), balanced, seed)
+    if depth > SPARK_MAX_DEPTH:
         raise ValueError(f"a forest's depth is at most {SPARK_MAX_DEPTH}, not {depth}")
 
     def build(n: int, positives: int) -> Estimator:
         extra = {"weightCol": "_w"} if balanced else {}
         return RandomForestClassifier(
-            featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=depth or SPARK_MAX_DEPTH,
+            featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=depth,
             minInstancesPerNode=max(min_leaf, min_split // 2), featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True,
             **extra,
         )
@@ -147,18 +152,25 @@ class LabelModels:
     """One fitted model per label; labels without a model have a constant probability."""
 
     classes: list[str]
-    models: dict[str, Model | LinearModel] = field(default_factory=dict)
+    models: dict[str, Model | LinearModel | fo.ForestModel] = field(default_factory=dict)
     constants: dict[str, float] = field(default_factory=dict)
 
     def probabilities(self, df: DataFrame, output: str = "p") -> DataFrame:
-        """Add array<double> with one probability per class: row-local, all models in one stage."""
+        """Add array<double> with one probability per class: row-local, all models in one stage, but for forests of open depth, whose
+        branches the rows meet first."""
         linear = [c for c in self.classes if isinstance(self.models.get(c), LinearModel)]
         if linear:
             df = df.withColumn("_linear", probabilities([self.models[c] for c in linear], F.col("features")))
+        deep = self._deep()
+        for j, (forest, members) in enumerate(deep):
+            df = fo.score(df, forest, [self.models[c].label for c in members], f"_forest{j}")
         columns = []
         for i, c in enumerate(self.classes):
             if c in linear:
                 columns.append(F.col("_linear")[linear.index(c)])
+            elif isinstance(self.models.get(c), fo.ForestModel):
+                j = next(j for j, (_, members) in enumerate(deep) if c in members)
+                columns.append(F.col(f"_forest{j}")[deep[j][1].index(c)])
             elif c in self.models:
                 model = self.models[c].copy()
                 model.setRawPredictionCol("").setPredictionCol("").setProbabilityCol(f"_p{i}")
@@ -167,33 +179,50 @@ class LabelModels:
             else:
                 columns.append(F.lit(self.constants.get(c, 0.0)))
         out = df.withColumn(output, F.array(*columns))
-        return out.drop("_linear", *[f"_p{i}" for i in range(len(self.classes))])
+        return out.drop("_linear", *[f"_p{i}" for i in range(len(self.classes))], *[f"_forest{j}" for j in range(len(deep))])
+
+    def _deep(self) -> list[tuple[fo.Forest, list[str]]]:
+        """The forests of open depth, each with the classes that it answers."""
+        found: dict[int, tuple[fo.Forest, list[str]]] = {}
+        for c in self.classes:
+            model = self.models.get(c)
+            if isinstance(model, fo.ForestModel):
+                found.setdefault(id(model.forest), (model.forest, []))[1].append(c)
+        return list(found.values())
 
     def save(self, path: str, spark) -> None:
         """One folder per model and a small table that says which label each folder answers.  Logistic models are one table of the
-        coefficients that are not zero."""
-        rows, linear = [], []
+        coefficients that are not zero, forests of open depth that were fitted together one folder."""
+        rows, linear, deep = [], [], self._deep()
+        for j, (forest, _) in enumerate(deep):
+            forest.save(f"{path}/forest={j}")
         for i, c in enumerate(self.classes):
             model = self.models.get(c)
-            kind = "linear" if isinstance(model, LinearModel) else "none" if model is None else "spark"
-            rows.append((i, c, kind, self.constants.get(c, 0.0)))
+            kind = ("linear" if isinstance(model, LinearModel) else "forest" if isinstance(model, fo.ForestModel) else
+                    "none" if model is None else "spark")
+            place = next(((j, model.label) for j, (_, members) in enumerate(deep) if c in members), (None, None))
+            rows.append((i, c, kind, self.constants.get(c, 0.0), *place))
             if kind == "spark":
                 PipelineModel([model]).write().overwrite().save(f"{path}/label={i}")
             elif kind == "linear":
                 linear.append((i, model.width, [int(x) for x in model.slots], [float(x) for x in model.weights], model.intercept))
-        listed = spark.createDataFrame(rows, "i int, label string, kind string, constant double")
+        listed = spark.createDataFrame(rows, "i int, label string, kind string, constant double, forest int, place int")
         listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
         spark.createDataFrame(linear, "i int, width int, slots array<int>, weights array<double>, intercept double").coalesce(
             1).write.mode("overwrite").parquet(f"{path}/linear")
 
     @classmethod
     def load(cls, path: str, spark) -> LabelModels:
-        out = cls([])
+        out, deep = cls([]), {}
         linear = {r["i"]: r for r in spark.read.parquet(f"{path}/linear").collect()}
         for r in sorted(spark.read.parquet(f"{path}/labels").collect(), key=lambda r: r["i"]):
             out.classes.append(r["label"])
             if r["kind"] == "spark":
                 out.models[r["label"]] = PipelineModel.load(f"{path}/label={r['i']}").stages[0]
+            elif r["kind"] == "forest":
+                if r["forest"] not in deep:
+                    deep[r["forest"]] = fo.Forest.load(f"{path}/forest={r['forest']}", spark)
+                out.models[r["label"]] = fo.ForestModel(deep[r["forest"]], r["place"])
             elif r["kind"] == "linear":
                 m = linear[r["i"]]
                 out.models[r["label"]] = LinearModel(
@@ -233,8 +262,13 @@ def fit_labels(train: DataFrame, labels: str, classes: Sequence[str], build: Bui
         else:
             todo.append(c)
 
+    truth = {c: F.coalesce(F.array_contains(labels, c), F.lit(False)) for c in todo}
+    if isinstance(build, fo.DeepForest):
+        fitted.models = dict(zip(todo, fo.fit_forests(train, list(truth.values()), build, n, [positives[c] for c in todo])))
+        return fitted
+
     def fit(c: str) -> Model:
-        y = F.coalesce(F.array_contains(labels, c), F.lit(False))
+        y = truth[c]
         weight = F.when(y, n / (2.0 * positives[c])).otherwise(n / (2.0 * (n - positives[c])))
         rows = train.select("features", y.cast("double").alias("_y"), weight.alias("_w"))
         return build(n, positives[c]).fit(rows)

@@ -36,10 +36,11 @@ def trainable_labels(spark, sf):
 
 
 def _bag_rows(spark, sf, tokens, width: int) -> DataFrame:
-    """(doc_id, source, split, y_true, features): hashed bag of words of the labelled documents, in one scan."""
-    rows = predictions(spark, sf, tokens(F.col("text")).alias("tokens")).select("doc_id", "source", "y_true", "tokens")
-    rows = rows.withColumn("split", hash_split(F.col("doc_id")))
-    return md.materialise(md.hashed_bag("tokens", "features", width).transform(rows).drop("tokens"))
+    """(doc_id, source, split, y_true, features): hashed bag of words of the labelled documents, in one scan.  Tokens are hashed before
+    the labels are joined, so no text is shuffled."""
+    bag = md.hashed_bag("tokens", "features", width)
+    rows = predictions(spark, sf, F.col("features"), prepare=lambda docs: bag.transform(docs.withColumn("tokens", tokens(F.col("text")))))
+    return md.materialise(rows.select("doc_id", "source", "y_true", "features", hash_split(F.col("doc_id")).alias("split")))
 
 
 def _scores(df: DataFrame, classes, slice_col: str | None = None) -> DataFrame:
